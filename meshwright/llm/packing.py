@@ -34,7 +34,12 @@ _CODERS: dict = {}
 
 
 class WordCoder:
-    """Ids of whole texts by a tokenizer that never joins text across ASCII white space, word by word with a cache."""
+    """Ids of whole texts by a tokenizer that never joins text across ASCII white space, word by word with a cache.
+
+    For a tokenizer that lower-cases and parts letters from other signs, a word of letters and its
+    trailing punctuation are coded apart.  New words are coded together in one text, parted by a
+    sign that is a single id.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -42,17 +47,49 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.mark = next(m for m in "^~`\\|" if len(ids(m)) == 1)
+        self.mark_id = ids(self.mark)[0]
+        self.parts = ids("Ab,.") == ids("ab") + ids(",.")
+
+    def _code(self, words: list[bytes]) -> None:
+        """Learn ``words`` as they stand."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [k for k, w in enumerate(texts) if self.mark not in w]
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(texts[k] for k in plain)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ids == self.mark_id)
+        if len(cut) != max(0, len(plain) - 1):
+            plain = []
+        for k, s, e in zip(plain, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=bool(plain)):
+            self.stems[words[k]] = ids[s:e].tobytes()
+        for k in sorted(set(range(len(words))) - set(plain)):
+            self.stems[words[k]] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        split = []
+        for w in words:
+            low = w.lower() if self.parts else w
+            stem = low.rstrip(b",.!?;:|*$%&#") if self.parts else low
+            if 0 < len(stem) < len(low) and (stem.isalpha() or stem.decode("utf-8", "replace").isalpha()):
+                split.append((w, stem, low[len(stem) :]))
+            else:
+                split.append((w, low, None))
+        need = list({x for _, *both in split for x in both if x is not None and x not in self.stems})
+        for s in range(0, len(need), 4000):
+            self._code(need[s : s + 4000])
+        for w, stem, tail in split:
+            self.known[w] = self.stems[stem] if tail is None else self.stems[stem] + self.stems[tail]
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
+        if len(self.stems) > CACHE_WORDS:
+            self.stems.clear()
         known, words = self.known, [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        for s in range(0, len(new), 20_000):
-            part = new[s : s + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        if new := [w for w in set().union(*words) if w not in known]:
+            self._learn(new)
         return [b"".join([known[w] for w in ws]) for ws in words]
 
 
