@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm import decontaminate, fingerprints, packing, pii, quality, secrets, simhash, toxicity
+from meshwright.llm import decontaminate, fingerprints, packing, pii, quality, secrets, simhash, substring_dedup, toxicity
 from meshwright.llm._common import documents, table
 
 
@@ -21,6 +21,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_versions(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.cut_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severities(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fingerprints, op3_toxicity, op4_decontamination, op5_simhash, op6_pii, op8_packing, op9_quality, op10_secrets)
+    own = (op1_fingerprints, op2_substring_dedup, op3_toxicity, op4_decontamination, op5_simhash, op6_pii, op8_packing, op9_quality, op10_secrets)
     return {f.__name__: f for f in own}
 
 
