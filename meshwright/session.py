@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +22,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession, rounds: int = 3) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
