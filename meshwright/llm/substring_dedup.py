@@ -9,7 +9,8 @@ the same offset.  The steps over the corpus:
    own hash and its place, (document, start).  Copies of a phrase within a chunk are settled at once.
 2. Dictionary.  Rows meet by trigger.  Of equal phrases the first place is the dictionary's; all
    windows of the others start earlier elsewhere and are covered whole.  Phrases whose trigger no
-   other phrase has cannot share a window with any and are done.
+   other phrase has cannot share a window with any and are done; the same holds for the windows on
+   one side, where no other phrase has the same ``SIDE`` bytes on that side of the trigger.
 3. Suffixes.  For dictionary phrases that share a trigger, the suffixes that reach ``LENGTH`` bytes are
    ranked: suffixes of one window have one rank (its 96-bit name), and within a rank corpus order
    decides.  Suffixes after the first in a rank are covered.  Suffix order is needed to depth
@@ -24,32 +25,34 @@ without an id come last.  Null texts count as empty; texts under ``LENGTH`` byte
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.llm._common import materialize, text_bytes
 from meshwright.llm._rolling import prefix, scramble, stretches
+from meshwright.session import release
 
 LENGTH, TRIGGER = 100, 32
+SIDE = (LENGTH - TRIGGER) // 2
 #: Bytes parsed together, and phrases of one trigger that a chunk sends on before it asks for their suffixes instead.
 CHUNK, SENT = 2 << 20, 64
 PHRASE, SUFFIX, COVERED = 0, 1, 2
-_NAMES = ["kind", "k", "h", "id", "lo", "n"]
-_SCHEMA = "kind int, k long, h long, id long, lo long, n int"
+#: n: windows, and for phrases also 128 times the trigger's place among them; p: hashes of both sides of the trigger.
+_NAMES = ["kind", "k", "h", "id", "lo", "n", "p"]
+_SCHEMA = "kind int, k long, h long, id long, lo long, n int, p long"
 _LAST = (1 << 63) - 1
 
 
-def _rows(kind: int, k, h, doc, lo, n) -> pa.RecordBatch:
+def _rows(kind: int, k, h, doc, lo, n, p=0) -> pa.RecordBatch:
     count = len(doc)
     whole = lambda v, t: pa.array(np.full(count, v, t) if np.isscalar(v) else np.ascontiguousarray(v).astype(t, copy=False))
     signed = lambda v: v if np.isscalar(v) else np.ascontiguousarray(v).view("<i8")
-    return pa.RecordBatch.from_arrays([whole(kind, np.int32), whole(signed(k), np.int64), whole(signed(h), np.int64), whole(doc, np.int64), whole(lo, np.int64), whole(n, np.int32)], _NAMES)
+    return pa.RecordBatch.from_arrays([whole(kind, np.int32), whole(signed(k), np.int64), whole(signed(h), np.int64), whole(doc, np.int64), whole(lo, np.int64), whole(n, np.int32), whole(signed(p), np.int64)], _NAMES)
 
 
 def _covered(doc, lo, n) -> pa.RecordBatch:
@@ -62,7 +65,7 @@ def _lay(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def phrases(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Trigger hash, phrase hash, text number, start in the text and number of windows of every phrase."""
+    """Trigger hash, phrase hash, text number, start in the text, windows and place of the trigger, and side hashes of every phrase."""
     n, span = len(raw), LENGTH - TRIGGER + 1
     sums = prefix(raw)
     grams = n - TRIGGER + 1
@@ -87,7 +90,10 @@ def phrases(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
     with np.errstate(over="ignore"):
         whole = scramble(whole + (trigger - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     text = np.searchsorted(begins, first, "right") - 1
-    return gram[trigger], whole, text, first - begins[text], last - first + 1
+    half = np.uint64(0xFFFFFFFF)
+    left = stretches(sums, np.maximum(trigger - SIDE, first), trigger + TRIGGER) & half
+    right = stretches(sums, trigger, np.minimum(trigger + TRIGGER + SIDE, last + LENGTH)) & half
+    return gram[trigger], whole, text, first - begins[text], (trigger - first) * 128 + last - first + 1, (left << np.uint64(32)) | right
 
 
 def _first_of(order_keys: tuple[np.ndarray, ...], doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,24 +116,24 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if max(map(len, texts)) < LENGTH:
             return
         raw, begins = _lay(texts)
-        k, h, text, lo, n = phrases(raw, begins)
+        k, h, text, lo, n, p = phrases(raw, begins)
         doc = np.array(ids, np.int64)[text]
         order, new, opener = _first_of((k, h), doc, lo)
-        k, h, doc, lo, n = k[order], h[order], doc[order], lo[order], n[order]
+        k, h, doc, lo, n, p = (x[order] for x in (k, h, doc, lo, n, p))
         again = _later(doc, lo, opener)
         if again.any():
-            yield _covered(doc[again], lo[again], n[again] + LENGTH - 1)
-        k, h, doc, lo, n = (x[new] for x in (k, h, doc, lo, n))
+            yield _covered(doc[again], lo[again], n[again] % 128 + LENGTH - 1)
+        k, h, doc, lo, n, p = (x[new] for x in (k, h, doc, lo, n, p))
         run = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         size = np.repeat(np.diff(np.concatenate((run, [len(k)]))), np.diff(np.concatenate((run, [len(k)]))))
         many = size > SENT
-        if many.any():  # its suffixes are wanted in any case; two rows tell the others that the trigger is shared
-            yield _rows(SUFFIX, scramble(doc[many].view(np.uint64)), 0, doc[many], lo[many], n[many])
+        if many.any():  # its suffixes are wanted in any case; a row without windows tells the others so
+            yield _rows(SUFFIX, scramble(doc[many].view(np.uint64)), 0, doc[many], lo[many], n[many] % 128)
             opens = np.zeros(len(k), bool)
             opens[run] = True
-            tell = many & (opens | np.concatenate(([False], opens[:-1])))
-            yield _rows(PHRASE, k[tell], h[tell], doc[tell], lo[tell], n[tell])
-        yield _rows(PHRASE, k[~many], h[~many], doc[~many], lo[~many], n[~many])
+            opens &= many
+            yield _rows(PHRASE, k[opens], 0, doc[opens], lo[opens], 0)
+        yield _rows(PHRASE, k[~many], h[~many], doc[~many], lo[~many], n[~many], p[~many])
 
     for batch in batches:
         ids, texts, held = [], [], 0
@@ -143,7 +149,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
 
 
 def _by_runs(batches: Iterator[pa.RecordBatch], settle) -> Iterator[pa.RecordBatch]:
@@ -170,25 +176,45 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for other in (SUFFIX, COVERED):
             if (pick := kind == other).any():
                 yield _rows(other, *(x[pick] for x in rest))
-        k, h, doc, lo, n = (x[kind == PHRASE] for x in rest)
+        k, h, doc, lo, n, p = (x[kind == PHRASE] for x in rest)
+        wild = np.unique(k[n == 0])
+        k, h, doc, lo, n, p = (x[n > 0] for x in (k, h, doc, lo, n, p))
         if not len(k):
             return
         order, new, opener = _first_of((k, h), doc, lo)
-        k, doc, lo, n = k[order], doc[order], lo[order], n[order]
+        k, doc, lo, n, p = (x[order] for x in (k, doc, lo, n, p))
         again = _later(doc, lo, opener)
         if again.any():
-            yield _covered(doc[again], lo[again], n[again] + LENGTH - 1)
-        k, doc, lo, n = k[new], doc[new], lo[new], n[new]
-        shared = np.zeros(len(k), bool)
-        same = k[1:] == k[:-1]
-        shared[1:] |= same
-        shared[:-1] |= same
-        if shared.any():
-            yield _rows(SUFFIX, scramble(doc[shared].view(np.uint64)), 0, doc[shared], lo[shared], n[shared])
+            yield _covered(doc[again], lo[again], n[again] % 128 + LENGTH - 1)
+        k, doc, lo, n, p = (x[new] for x in (k, doc, lo, n, p))
+        place, n = n // 128, n % 128
+        on_left, on_right = place >= SIDE, place - n + 1 < SIDE  # sides on which it has windows
+        p = p.view("<u8")
+        told = np.isin(k, wild)
+        left = on_left & (told | _shared(k, p >> np.uint64(32), on_left))
+        right = on_right & (told | _shared(k, p & np.uint64(0xFFFFFFFF), on_right))
+        # Windows with SIDE bytes or more before the trigger come first.
+        ahead = np.where(on_left, place - SIDE + 1, 0).clip(0, n)
+        begin = np.where(left, 0, ahead)
+        end = np.where(right, n, ahead)
+        pick = end > begin
+        if pick.any():
+            yield _rows(SUFFIX, scramble(doc[pick].view(np.uint64)), 0, doc[pick], (lo + begin)[pick], (end - begin)[pick])
 
     yield from _by_runs(batches, settle)
 
 
+def _shared(k: np.ndarray, side: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Which rows have another one of the same trigger with the same bytes on a side."""
+    out = np.zeros(len(k), bool)
+    at = np.flatnonzero(there)
+    at = at[np.lexsort((side[at], k[at]))]
+    same = (k[at][1:] == k[at][:-1]) & (side[at][1:] == side[at][:-1])
+    out[at[1:][same]] = True
+    out[at[:-1][same]] = True
+    return out
+
+
 def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """All of lo, lo+1, .. lo+n-1 for each pair."""
     total = np.cumsum(n)
@@ -255,7 +281,7 @@ def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, *rest = rows
         if (pick := kind == COVERED).any():
             yield _rows(COVERED, *(x[pick] for x in rest))
-        k, h, doc, lo, _ = (x[kind == SUFFIX] for x in rest)
+        k, h, doc, lo, *_ = (x[kind == SUFFIX] for x in rest)
         if not len(k):
             return
         order, _, opener = _first_of((k, h), doc, lo)
@@ -305,12 +331,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what has been written and is not referred to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _beside_text(source: DataFrame, spans: DataFrame) -> DataFrame:
     """Texts and their spans by id, spans first."""
     texts = source.select("id", F.lit(True).alias("is_text"), "data", F.lit(0).cast("long").alias("lo"), F.lit(0).alias("n"))
@@ -325,12 +345,12 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = source.mapInArrow(_parse, _SCHEMA).repartition("k").sortWithinPartitions("k")
     parsed = materialize(rows.mapInArrow(_dictionary, _SCHEMA))
     del rows
-    _release(spark)
+    release(spark)
     wanted = _beside_text(source, parsed.where(f"kind = {SUFFIX}"))
     rows = wanted.mapInArrow(_suffixes, _SCHEMA).repartition("k").sortWithinPartitions("k")
     ranked = materialize(rows.mapInArrow(_ranks, _SCHEMA))
     del rows, wanted
-    _release(spark)
+    release(spark)
     covered = parsed.where(f"kind = {COVERED}").unionByName(ranked)
     out = _beside_text(source, covered).mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("id", id_col)
