@@ -1,15 +1,550 @@
-"""All queries over the driver tables and the SQL they are compared with."""
+"""All queries over the driver tables and the SQL they are compared with.
+
+The similarity network is that of ``embeddings``: pairs i < j with their cosine, rounded to six digits;
+``net`` are its edges from 0.3 on.  Alignment queries read part names as aligned rows of letters.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from meshwright.functions import predicate
+from meshwright.operators import alignment, dynamic, edges, graph, metadata, sequences, trees
+from meshwright.streaming import windows
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- the similarity network -------------------------------------------------------------------------------------
+
+PAIRS = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, label, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-8)) AS e FROM v),
+p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 6) AS score FROM u a JOIN u b ON a.vec_id < b.vec_id),
+net AS (SELECT * FROM p WHERE score >= 0.3)"""
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.all_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("score", F.round("score", 6))
+
+
+def net(spark: SparkSession, sf_dir: str, least: float = 0.3) -> DataFrame:
+    return edges.at_least(pairs(spark, sf_dir), least)
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), "label")
+
+
+@query(f"WITH {PAIRS} SELECT i, j, score FROM p")
+def pair_scores(spark, sf_dir):
+    return pairs(spark, sf_dir)
+
+
+@query(f"WITH {PAIRS} SELECT count(*) AS edges, min(score) AS least, max(score) AS greatest, round(avg(score), 9) AS mean, t AS threshold, count(*) FILTER (score >= t) AS kept FROM p, (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4])::DOUBLE AS t) GROUP BY t")
+def score_statistics(spark, sf_dir):
+    return edges.statistics(pairs(spark, sf_dir), [0.0, 0.1, 0.2, 0.3, 0.4]).withColumn("mean", F.round("mean", 9))
+
+
+@query(f"WITH {PAIRS}, q AS (SELECT unnest([0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100])::DOUBLE AS percent), r AS (SELECT quantile_cont(score, [0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1]) AS v FROM p) SELECT unnest([0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100])::DOUBLE AS percent, round(unnest(v), 6) AS value FROM r")
+def score_quantiles(spark, sf_dir):
+    return edges.quantiles(pairs(spark, sf_dir), [0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100]).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {PAIRS}, m AS (SELECT min(score) lo, max(score) hi FROM p), b AS (SELECT least(floor((score - lo) / ((hi - lo) / 20.0)), 19)::INT AS bin, count(*) n FROM p, m GROUP BY 1) SELECT s.bin::INT AS bin, round(lo + s.bin * (hi - lo) / 20, 6) AS low, round(lo + (s.bin + 1) * (hi - lo) / 20, 6) AS high, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(20)) AS bin) s CROSS JOIN m LEFT JOIN b ON s.bin = b.bin")
+def score_histogram(spark, sf_dir):
+    return edges.histogram(pairs(spark, sf_dir), "score").select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.col("n").cast("long").alias("n"))
+
+
+@query(f"WITH {PAIRS}, m AS (SELECT floor(min(score) * 10)::BIGINT lo, ceil(max(score) * 10)::BIGINT hi FROM p), t AS (SELECT unnest(range(lo, hi + 1)) / 10.0 AS threshold FROM m) SELECT threshold::DOUBLE AS threshold, (SELECT count(*) FROM p WHERE score >= threshold::DOUBLE) AS kept FROM t")
+def report_thresholds(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    low, high = p.agg(F.min("score"), F.max("score")).first()
+    return edges.statistics(p, edges.report_thresholds(low, high, blast=False)).select("threshold", "kept")
+
+
+COMPONENTS = """, b AS (SELECT i AS a, j AS b FROM net UNION ALL SELECT j, i FROM net),
+reach(node, other) AS (SELECT vec_id, vec_id FROM u UNION SELECT r.node, b.b FROM reach r JOIN b ON r.other = b.a)"""
+
+
+@query(f"WITH RECURSIVE {PAIRS}{COMPONENTS} SELECT node, min(other) AS component FROM reach GROUP BY node")
+def components(spark, sf_dir):
+    return graph.components_of(nodes(spark, sf_dir), net(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {PAIRS}{COMPONENTS}, c AS (SELECT component, count(*) n FROM (SELECT node, min(other) component FROM reach GROUP BY node) GROUP BY 1), s AS (SELECT count(*) kept FROM net), k AS (SELECT count(*) n FROM u) SELECT 0.3::DOUBLE AS cutoff, s.kept AS kept, round(100.0 * s.kept / (k.n * (k.n - 1) / 2.0), 9) AS percent, round(2.0 * s.kept / k.n, 9) AS mean_degree, count(*) FILTER (c.n > 1) AS clusters, count(*) FILTER (c.n = 1) AS isolated, coalesce(max(c.n) FILTER (c.n > 1), 0) AS largest FROM c, s, k GROUP BY s.kept, k.n")
+def edge_filter_preview(spark, sf_dir):
+    own, n = net(spark, sf_dir), nodes(spark, sf_dir)
+    total, kept = n.count(), own.count()
+    clusters, isolated, largest = graph.component_counts(n, own)
+    return spark.createDataFrame([(0.3, kept, round(100 * kept / (total * (total - 1) / 2), 9), round(2 * kept / total, 9), clusters, isolated, largest)], "cutoff double, kept long, percent double, mean_degree double, clusters long, isolated long, largest long")
+
+
+@query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) ri, row_number() OVER (PARTITION BY j ORDER BY score DESC, i) rj FROM p) SELECT i, j, score FROM r WHERE ri <= 3 OR rj <= 3")
+def topk_directed(spark, sf_dir):
+    ordered = pairs(spark, sf_dir).withColumn("pos", F.struct("i", "j"))
+    return edges.strongest_directed(ordered, 3).select("i", "j", "score")
+
+
+@query(f"WITH {PAIRS}, b AS (SELECT i AS node, j AS other, score FROM p UNION ALL SELECT j, i, score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other)::INT AS rank FROM b) SELECT node, rank, other, score FROM r WHERE rank <= 5")
+def topk_undirected(spark, sf_dir):
+    return edges.nearest_partners(pairs(spark, sf_dir), 5)
+
+
+@query(f"WITH {PAIRS}, b AS (SELECT i AS node, j AS other, score FROM p UNION ALL SELECT j, i, score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other)::INT AS rank FROM b), m AS (SELECT max(score) AS top FROM p) SELECT node, rank, other, round(top - score, 6) AS distance FROM r, m WHERE rank <= 4")
+def knn_table(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    top = p.agg(F.max("score")).first()[0]
+    return edges.nearest_partners(p, 4).select("node", "rank", "other", F.round(F.lit(top) - F.col("score"), 6).alias("distance"))
+
+
+@query(f"WITH {PAIRS}, c AS (SELECT score FROM p ORDER BY score DESC LIMIT 1 OFFSET (SELECT greatest(1, floor(count(*) * 0.01))::BIGINT - 1 FROM p)) SELECT i, j, score FROM p WHERE score >= (SELECT score FROM c)")
+def top_percent_cutoff(spark, sf_dir):
+    p, n = pairs(spark, sf_dir), nodes(spark, sf_dir).count()
+    return edges.at_least(p, edges.percent_cutoff(p, n, 1.0))
+
+
+@query(f"WITH {PAIRS} SELECT CASE WHEN i = 7 THEN j ELSE i END AS node, score FROM p WHERE i = 7 OR j = 7")
+def scores_to_node(spark, sf_dir):
+    return edges.scores_to_node(pairs(spark, sf_dir), 7)
+
+
+@query(f"WITH {PAIRS} SELECT DISTINCT CASE WHEN i IN (SELECT vec_id FROM u WHERE label = 3) THEN j ELSE i END AS node FROM net WHERE (i IN (SELECT vec_id FROM u WHERE label = 3)) <> (j IN (SELECT vec_id FROM u WHERE label = 3))")
+def neighbours_of_selection(spark, sf_dir):
+    return edges.neighbours(net(spark, sf_dir), nodes(spark, sf_dir).where("label = 3").select("node"))
+
+
+@query(f"WITH {PAIRS}, s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM u WHERE label IN (1, 2, 3)) SELECT a.n AS i, b.n AS j, score FROM net JOIN s a ON a.vec_id = i JOIN s b ON b.vec_id = j")
+def extract_subnetwork(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    return edges.subnetwork(net(spark, sf_dir), n, n.where("label in (1, 2, 3)"))[1]
+
+
+@query(f"WITH {PAIRS}, old AS (SELECT * FROM net WHERE i % 3 <> 0 AND j % 3 <> 0) SELECT i, j, score FROM old UNION ALL SELECT i, j, score FROM net WHERE i % 3 = 0 OR j % 3 = 0")
+def inject_pairs(spark, sf_dir):
+    n = net(spark, sf_dir)
+    return edges.inject(n.where("i % 3 <> 0 and j % 3 <> 0"), n.select(F.col("j").alias("i"), F.col("i").alias("j"), "score"))
+
+
+@query(f"WITH {PAIRS} SELECT i, j FROM p WHERE score < 0.3")
+def pending_pairs(spark, sf_dir):
+    return edges.pending_pairs(pairs(spark, sf_dir), net(spark, sf_dir))
+
+
+JACCARD = """, b AS (SELECT i AS a, j AS b FROM net UNION ALL SELECT j, i FROM net), d AS (SELECT a, count(*) n FROM b GROUP BY a),
+jac AS (SELECT i, j, round((2 + (SELECT count(*) FROM b x JOIN b y ON x.b = y.b WHERE x.a = net.i AND y.a = net.j))::DOUBLE / (du.n + dv.n - (SELECT count(*) FROM b x JOIN b y ON x.b = y.b WHERE x.a = net.i AND y.a = net.j)), 9) AS jaccard FROM net JOIN d du ON du.a = i JOIN d dv ON dv.a = j)"""
+
+
+@query(f"WITH {PAIRS}{JACCARD} SELECT i, j, jaccard FROM jac")
+def jaccard_edges(spark, sf_dir):
+    return graph.jaccard(net(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query()
+def jaccard_clusters(spark, sf_dir):
+    return graph.jaccard_clusters(nodes(spark, sf_dir), net(spark, sf_dir), 0.2, 3)
+
+
+@query()
+def mcl_clusters(spark, sf_dir):
+    return graph.markov_clusters(nodes(spark, sf_dir), net(spark, sf_dir, 0.35), 2.0)
+
+
+@query(f"WITH {PAIRS}, c AS (SELECT label, count(*) n, min(vec_id) m FROM u GROUP BY 1), k AS (SELECT label, row_number() OVER (ORDER BY n DESC, m)::INT AS cluster FROM c) SELECT vec_id AS node, cluster FROM u JOIN k USING (label)")
+def renumber_clusters(spark, sf_dir):
+    return graph.renumber(nodes(spark, sf_dir).select("node", F.col("label").alias("component")))
+
+
+CENTRES = """, lab AS (SELECT vec_id AS node, label + 1 AS cluster FROM u), b AS (SELECT i AS node, j AS other, score FROM net UNION ALL SELECT j, i, score FROM net),
+k AS (SELECT node, sum(score) k FROM b GROUP BY 1), ki AS (SELECT b.node, sum(score) k_in FROM b JOIN lab x ON x.node = b.node JOIN lab y ON y.node = b.other WHERE x.cluster = y.cluster GROUP BY 1),
+r AS (SELECT lab.node, cluster, coalesce(k, 0) k, coalesce(k_in, 0) k_in FROM lab LEFT JOIN k ON k.node = lab.node LEFT JOIN ki ON ki.node = lab.node),
+g AS (SELECT node, cluster, k_in - k * (sum(k) OVER (PARTITION BY cluster) - k) / (SELECT sum(score) FROM b) AS gain FROM r)"""
+
+
+@query(f"WITH {PAIRS}{CENTRES} SELECT cluster, min(node) AS centre FROM g JOIN (SELECT cluster AS c, max(gain) AS best FROM g GROUP BY 1) ON c = cluster WHERE gain >= best - 1e-9 GROUP BY cluster")
+def modularity_centres(spark, sf_dir):
+    labels = nodes(spark, sf_dir).select("node", (F.col("label") + 1).alias("cluster"))
+    return graph.centres(labels, net(spark, sf_dir))
+
+
+@query(f"WITH {PAIRS} SELECT i, j, score FROM net WHERE i IN (SELECT vec_id FROM u WHERE label = 2) AND j IN (SELECT vec_id FROM u WHERE label = 2)")
+def subcluster_edges(spark, sf_dir):
+    labels = nodes(spark, sf_dir).select("node", F.col("label").alias("cluster"))
+    return graph.induced(labels, net(spark, sf_dir), 2)
+
+
+@query(f"WITH RECURSIVE {PAIRS}{COMPONENTS.replace('net', '(SELECT * FROM net WHERE score >= 0.35)')} SELECT node, min(other) AS component FROM reach GROUP BY node")
+def cut_tree(spark, sf_dir):
+    return graph.cut_tree(nodes(spark, sf_dir), graph.spanning_forest(net(spark, sf_dir)), 0.35)
+
+
+@query()
+def threshold_tree(spark, sf_dir):
+    return graph.spanning_forest(net(spark, sf_dir))
+
+
+@query()
+def guide_trees(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    p = pairs(spark, sf_dir).join(n.withColumnRenamed("node", "i"), "i").join(n.select(F.col("node").alias("j"), F.col("label").alias("l2")), "j").where("label = l2")
+    return trees.guide_trees(p.select("label", "i", "j", (1 - F.col("score")).alias("distance")), "label")
+
+
+@query(f"WITH {PAIRS}, q AS (SELECT quantile_cont(score, 0.8) AS c FROM p) SELECT i, j, score FROM p, q WHERE score >= c")
+def prefilter_cut(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    cut = p.agg(F.percentile("score", F.lit(0.8)).alias("c"))
+    return p.join(F.broadcast(cut), F.col("score") >= F.col("c")).select("i", "j", "score")
+
+
+@query(f"WITH {PAIRS}, s AS (SELECT i, j, score, ntile(20) OVER (ORDER BY score, i, j) AS band FROM p) SELECT band::INT AS band, count(*) AS n, min(score) AS low, max(score) AS high FROM s GROUP BY band")
+def calibration_bands(spark, sf_dir):
+    w = Window.orderBy("score", "i", "j")
+    return pairs(spark, sf_dir).withColumn("band", F.ntile(20).over(w)).groupBy("band").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+
+
+@query(f"WITH {PAIRS} SELECT row_number() OVER (ORDER BY score DESC, node)::INT AS rank, node, score FROM (SELECT CASE WHEN i = 0 THEN j ELSE i END AS node, score FROM p WHERE (i = 0 OR j = 0) AND score >= 0.05) ORDER BY rank LIMIT 20")
+def search_topk(spark, sf_dir):
+    q = read(spark, sf_dir, "embeddings")
+    one = q.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    dot = lambda a, b: F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = q.where("vec_id <> 0").join(F.broadcast(one)).select(F.col("vec_id").alias("node"), F.round(dot("embedding", "q") / (F.greatest(F.sqrt(dot("embedding", "embedding")), F.lit(1e-8)) * F.greatest(F.sqrt(dot("q", "q")), F.lit(1e-8))), 6).alias("score"))
+    best = scored.where("score >= 0.05").orderBy(F.col("score").desc(), "node").limit(20)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "node")))
+
+
+@query()
+def dp_alignment(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").where("label = 1").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice(F.col("embedding").cast("array<double>"), k * 8 + 1, 8)).alias("m"))
+    both = e.select(F.col("vec_id").alias("i"), F.col("m").alias("x")).join(e.select(F.col("vec_id").alias("j"), F.col("m").alias("y")), F.col("i") < F.col("j"))
+    return dynamic.pair_scores(both, "x", "y")
+
+
+# --- edges of line items ----------------------------------------------------------------------------------------
+
+
+@query("SELECT least(l_partkey, l_suppkey) AS i, greatest(l_partkey, l_suppkey) AS j, max(l_extendedprice) AS score FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2")
+def reduce_edges_max(spark, sf_dir):
+    return edges.reduce_max(read(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+NORMS = "l_orderkey, l_linenumber, l_extendedprice AS s, l_quantity AS a, (l_partkey % 7)::DOUBLE AS x, (l_suppkey % 5)::DOUBLE AS y"
+
+
+@query(f"WITH t AS (SELECT {NORMS} FROM lineitem) SELECT l_orderkey, l_linenumber, round(CASE WHEN a > 0 THEN s / a ELSE 0 END, 6) AS aligned, round(CASE WHEN least(x, y) > 0 THEN s / least(x, y) ELSE 0 END, 6) AS shorter, round(CASE WHEN greatest(x, y) > 0 THEN s / greatest(x, y) ELSE 0 END, 6) AS longer, round(CASE WHEN x + y > 0 THEN s / ((x + y) / 2) ELSE 0 END, 6) AS average, round(s / greatest(least(x, y), 1e-6), 4) AS floored FROM t")
+def normalized_scores(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem")
+    s, a, x, y = F.col("l_extendedprice"), F.col("l_quantity"), (F.col("l_partkey") % 7).cast("double"), (F.col("l_suppkey") % 5).cast("double")
+    modes = {"aligned": "alignment_length", "shorter": "shorter", "longer": "longer", "average": "average"}
+    return t.select("l_orderkey", "l_linenumber", *(F.round(edges.normalize(s, a, x, y, m), 6).alias(n) for n, m in modes.items()), F.round(edges.normalize_floored(s, a, x, y, "shorter"), 4).alias("floored"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(-log10(l_discount * 1e-30 + 1e-300), 9) AS evalue_score, round(l_quantity * log10(2.0) - log10((l_partkey + 1.0) * (l_suppkey + 1.0)), 9) AS alignment_score FROM lineitem")
+def hit_scores(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem")
+    return t.select("l_orderkey", "l_linenumber", F.round(edges.evalue_score(F.col("l_discount") * 1e-30), 9).alias("evalue_score"), F.round(edges.alignment_score(F.col("l_quantity"), F.col("l_partkey") + 1.0, F.col("l_suppkey") + 1.0), 9).alias("alignment_score"))
+
+
+@query("SELECT count(*) FILTER (l_discount::FLOAT >= 0.07::FLOAT) AS layout, count(*) FILTER (l_discount::FLOAT::DOUBLE >= 0.07::DOUBLE) AS statistics FROM lineitem")
+def threshold_rules(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").select(F.col("l_discount").cast("float").alias("score"))
+    counted = [edges.at_least(t, 0.07, rule=r).agg(F.count("*").alias(r)) for r in ("layout", "statistics")]
+    return counted[0].join(F.broadcast(counted[1]))
+
+
+@query("SELECT o_orderkey AS query, count(DISTINCT l_partkey) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def hits_per_query(spark, sf_dir):
+    return read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_orderkey").alias("query")).agg(F.countDistinct("l_partkey").alias("n"))
+
+
+# --- the selection language and metadata ------------------------------------------------------------------------
+
+
+def part_context() -> predicate.Context:
+    residue = lambda pos: F.when(F.col("p_size") > 2, F.coalesce(F.nullif(F.upper(F.substring("p_name", int(pos), 1)), F.lit(" ")), F.lit("-")))
+    return predicate.Context(header="p_name", cluster="cluster", groups="groups", selected="selected", numbers={"Size": "p_size", "Price": "p_retailprice"}, texts={"Brand": "p_brand", "Type": "p_type"}, residue=residue, files={"big": F.col("p_size") >= 40})
+
+
+def parts(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return p.withColumns({"cluster": F.when(F.col("p_size") > 25, (F.col("p_partkey") % 4 + 1).cast("int")).otherwise(-1), "groups": F.array("p_type", F.concat(F.lit("g"), (F.col("p_partkey") % 3).cast("string"))), "selected": F.col("p_partkey") % 2 == 0, "visible": F.col("p_partkey") % 5 != 0})
+
+
+RES = "CASE WHEN p_size > 2 THEN coalesce(nullif(upper(substr(p_name, {}, 1)), ' '), '-') END"
+RES2, RES3 = RES.format(2), RES.format(3)
+#: Expression and its SQL.
+SELECTIONS = {
+    "predicate_substring": ('"RED"', "contains(lower(p_name), 'red')"),
+    "predicate_wildcard": ('"*ring"|"s?all*"', "lower(p_name) LIKE '%ring' OR lower(p_name) LIKE 's_all%'"),
+    "predicate_number": ("{Size>=10}&{Size<30}&!{Price=900-905.5}", "p_size >= 10 AND p_size < 30 AND NOT (p_retailprice BETWEEN 900 AND 905.5)"),
+    "predicate_text": ('{Brand="brand#1"}^{Type!=eco*}', "contains(lower(p_brand), 'brand#1') <> NOT (lower(p_type) LIKE 'eco%')"),
+    "predicate_residues": ("E2|!(RS)3", f"coalesce(({RES2} IN ('E')) OR NOT ({RES3} IN ('R', 'S')), false)"),
+    "predicate_labels": ("#cluster_2#|#noise#&#g1#", "(p_size > 25 AND p_partkey % 4 + 1 = 2) OR (NOT p_size > 25 AND p_partkey % 3 = 1)"),
+    "predicate_sets": ("@big@&!$sele$", "p_size >= 40 AND NOT (p_partkey % 2 = 0)"),
+}
+
+
+def _selection(name: str, text: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        return parts(spark, sf_dir).where(predicate.mask(text, part_context())).select("p_partkey")
+
+    run.__name__ = name
+    query(f"SELECT p_partkey FROM part WHERE {sql}")(run)
+
+
+for _name, (_text, _where) in SELECTIONS.items():
+    _selection(_name, _text, _where)
+
+
+@query("SELECT p_partkey, mode, CASE mode WHEN 'change' THEN f AND v WHEN 'add' THEN s OR (f AND v) WHEN 'subtract' THEN s AND NOT (f AND v) WHEN 'filter' THEN s AND f AND v WHEN 'toggle' THEN s <> (f AND v) ELSE v AND NOT s END AS selected FROM (SELECT p_partkey, p_size > 20 AS f, p_partkey % 2 = 0 AS s, p_partkey % 5 <> 0 AS v FROM part), (SELECT unnest(['change', 'add', 'subtract', 'filter', 'toggle', 'invert']) AS mode)")
+def select_modes(spark, sf_dir):
+    found = predicate.mask("{Size>20}", part_context())
+    out = [predicate.select(parts(spark, sf_dir), found, m).select("p_partkey", F.lit(m).alias("mode"), "selected") for m in ("change", "add", "subtract", "filter", "toggle", "invert")]
+    return metadata.union_all(out)
+
+
+@query(f"WITH {PAIRS} SELECT vec_id AS node FROM u WHERE vec_id NOT IN (SELECT i FROM net UNION SELECT j FROM net)")
+def hide_single(spark, sf_dir):
+    return nodes(spark, sf_dir).select("node").join(edges.both_ways(net(spark, sf_dir)).select("node").distinct(), "node", "left_anti")
+
+
+@query("SELECT c_name AS header, c_acctbal, o.o_orderpriority AS priority, o.o_totalprice AS total FROM customer LEFT JOIN (SELECT o_custkey, max_by(o_orderpriority, o_orderkey) AS o_orderpriority, max_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
+def meta_merge(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_name").alias("header"), "c_acctbal", "c_custkey")
+    o = read(spark, sf_dir, "orders").join(c.select("header", "c_custkey"), F.col("o_custkey") == F.col("c_custkey")).select("header", "o_orderkey", F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("total"))
+    return metadata.merge(c.drop("c_custkey"), o, "header", {"priority": "text", "total": "number"}, "o_orderkey")
+
+
+@query("SELECT count(c_acctbal) AS valid, count(*) - count(c_acctbal) AS missing, round(quantile_cont(c_acctbal, 0), 6) AS least, round(quantile_cont(c_acctbal, 0.25), 6) AS q1, round(quantile_cont(c_acctbal, 0.5), 6) AS median, round(quantile_cont(c_acctbal, 0.75), 6) AS q3, round(quantile_cont(c_acctbal, 1), 6) AS greatest FROM customer")
+def meta_summary_number(spark, sf_dir):
+    out = metadata.numeric_summary(read(spark, sf_dir, "customer"), "c_acctbal")
+    return out.select("valid", "missing", *(F.round(c, 6).alias(c) for c in ("least", "q1", "median", "q3", "greatest")))
+
+
+@query("WITH c AS (SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, value LIMIT 10) SELECT * FROM t UNION ALL SELECT '(other)', coalesce(sum(n), 0)::BIGINT FROM c WHERE value NOT IN (SELECT value FROM t)")
+def meta_summary_text(spark, sf_dir):
+    return metadata.category_summary(read(spark, sf_dir, "part"), "p_brand")
+
+
+@query("SELECT 'p_size' AS field, 'number' AS type, count(p_size) AS valid, count(*) - count(p_size) AS missing, 0::BIGINT AS invalid FROM part UNION ALL SELECT 'p_retailprice', 'number', count(p_retailprice), count(*) - count(p_retailprice), 0 FROM part UNION ALL SELECT 'p_brand', 'text', count(*) FILTER (p_brand <> ''), count(*) - count(*) FILTER (p_brand <> ''), 0 FROM part")
+def describe_fields(spark, sf_dir):
+    return metadata.describe_fields(read(spark, sf_dir, "part"), ["p_size", "p_retailprice"], ["p_brand"])
+
+
+@query("SELECT g AS \"group\", count(*) AS n FROM (SELECT unnest([p_type, 'g' || (p_partkey % 3)]) AS g FROM part) GROUP BY 1")
+def membership_counts(spark, sf_dir):
+    return metadata.membership_counts(parts(spark, sf_dir), "groups")
+
+
+@query("SELECT p_partkey, list_sort(list_distinct([p_type, 'g' || (p_partkey % 3), 'new'])) AS assigned FROM part")
+def group_assign(spark, sf_dir):
+    return parts(spark, sf_dir).select("p_partkey", metadata.assign(F.col("groups"), ["new"]).alias("assigned"))
+
+
+@query("SELECT c_custkey, round((c_acctbal - lo) / (hi - lo), 9) AS shade FROM customer, (SELECT min(c_acctbal) lo, max(c_acctbal) hi FROM customer)")
+def spectrum_scale(spark, sf_dir):
+    return metadata.spectrum(read(spark, sf_dir, "customer"), "c_acctbal").select("c_custkey", F.round("shade", 9).alias("shade"))
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey > 99 ORDER BY p_partkey LIMIT 50")
+def node_page(spark, sf_dir):
+    return metadata.page(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", 99, 50)
+
+
+@query("SELECT p_partkey, CASE WHEN p_retailprice = floor(p_retailprice) THEN p_retailprice::BIGINT::VARCHAR ELSE p_retailprice::VARCHAR END AS shown FROM part")
+def formatted_values(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", metadata.format_value(F.col("p_retailprice")).alias("shown"))
+
+
+# --- sequences ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(translate(trim(url), '[]{}', '()()'), '[?*\"#%@$/\\\\]', '_', 'g'), '\\s+', '_', 'g'), '_+', '_', 'g') AS header FROM pages")
+def sanitize_headers(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", sequences.clean_header(F.col("url")).alias("header"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_extract(upper(p_name), '[ACDEFGHIKLMNPQRSTVWYBZJXUO](?:.*[ACDEFGHIKLMNPQRSTVWYBZJXUO])?', 0), '[^ACDEFGHIKLMNPQRSTVWYBZJXUO]', 'X', 'g') AS seq FROM part")
+def sanitize_sequences(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", sequences.clean_sequence(F.col("p_name")).alias("seq"))
+
+
+@query("SELECT text AS seq, (list(source ORDER BY length(source) DESC, source))[1] AS header, count(*) AS merged FROM documents GROUP BY text")
+def dedup_sequences(spark, sf_dir):
+    return sequences.dedup(read(spark, sf_dir, "documents").select(F.col("source").alias("header"), F.col("text").alias("seq")))
+
+
+@query("WITH d AS (SELECT DISTINCT source, text FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY text) - 1 AS k FROM d) SELECT source AS original, CASE WHEN k = 0 THEN source ELSE source || '_' || k END AS header, text AS seq FROM n")
+def unique_headers(spark, sf_dir):
+    return sequences.unique_headers(read(spark, sf_dir, "documents").select(F.col("source").alias("header"), F.col("text").alias("seq")))
+
+
+@query("SELECT count(text) AS n, min(length(text)) AS least, round(quantile_cont(length(text), 0.5), 6) AS median, round(avg(length(text)), 6) AS mean, round(stddev_pop(length(text)), 6) AS sd, max(length(text)) AS greatest FROM documents")
+def length_stats(spark, sf_dir):
+    out = sequences.length_statistics(read(spark, sf_dir, "documents"), "text")
+    return out.select("n", F.col("least").cast("long").alias("least"), F.round("median", 6).alias("median"), F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.col("greatest").cast("long").alias("greatest"))
+
+
+_KDA = " + ".join(f"(length(s) - length(replace(s, '{a}', ''))) * {m}" for a, m in sequences.MASS.items())
+_HYD = {**sequences.HYDROPATHY, "B": -3.5, "Z": -3.5, "J": 4.15}
+_GRAVY = " + ".join(f"(length(s) - length(replace(s, '{a}', ''))) * ({h})" for a, h in _HYD.items())
+_GN = " + ".join(f"(length(s) - length(replace(s, '{a}', '')))" for a in _HYD)
+
+
+@query(f"SELECT p_partkey, length(s)::INT AS length, round(({_KDA} + {sequences.WATER}) / 1000, 6) AS kda, round(({_GRAVY})::DOUBLE / nullif({_GN}, 0), 6) AS gravy FROM (SELECT p_partkey, replace(upper(p_name), ' ', '') AS s FROM part)")
+def derived_columns(spark, sf_dir):
+    s = F.replace(F.upper("p_name"), F.lit(" "), F.lit(""))
+    return read(spark, sf_dir, "part").select("p_partkey", F.length(s).alias("length"), F.round(sequences.kilodaltons(s), 6).alias("kda"), F.round(sequences.gravy(s), 6).alias("gravy"))
+
+
+@query()
+def isoelectric_points(spark, sf_dir):
+    s = F.replace(F.upper("p_name"), F.lit(" "), F.lit(""))
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(sequences.isoelectric_point(s), 4).alias("pi"))
+
+
+@query("SELECT doc_id, (instr(text, substr(text, 6, 12)) - 1)::INT AS \"offset\", contains(substr(text, instr(text, substr(text, 6, 12)) + 1), substr(text, 6, 12)) AS ambiguous FROM documents WHERE length(text) > 20")
+def crop_offsets(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("length(text) > 20")
+    return sequences.crop_offsets(d.select("doc_id", F.col("text").alias("seq")), d.select("doc_id", F.substring("text", 6, 12).alias("crop")), "doc_id")
+
+
+@query("SELECT p_partkey AS pos, p_name AS header, CASE WHEN lower(p_name) = 'ring' THEN 1 WHEN lower(p_name) LIKE 'ring|_%' ESCAPE '|' OR starts_with(lower(p_name), 'ring|') THEN 2 ELSE 3 END AS tier FROM part WHERE contains(lower(p_name), 'ring') ORDER BY tier, pos LIMIT 1")
+def reference_tiers(spark, sf_dir):
+    return sequences.reference_matches(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("header")), "ring")
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) BETWEEN 200 AND 3000 AND NOT contains(source, '1')")
+def length_header_filter(spark, sf_dir):
+    return sequences.keep(read(spark, sf_dir, "documents"), "1", 200, 3000, "source", "text").select("doc_id")
+
+
+# --- alignment columns -------------------------------------------------------------------------------------------
+
+CELLS = "n AS (SELECT p_partkey AS row, replace(upper(p_name), ' ', '-') AS s, p_type FROM part), m AS (SELECT row, p_type, k - 1 AS col, substr(s, k, 1) AS aa FROM (SELECT row, p_type, s, unnest(range(1, length(s) + 1)) AS k FROM n) WHERE substr(s, k, 1) <> '-'), c AS (SELECT count(*) AS rows FROM part)"
+
+
+def cells(spark, sf_dir):
+    return alignment.long_form(read(spark, sf_dir, "part").withColumn("s", F.replace("p_name", F.lit(" "), F.lit("-"))), "p_partkey", "s")
+
+
+def n_parts(spark, sf_dir):
+    return read(spark, sf_dir, "part").count()
+
+
+@query(f"WITH {CELLS} SELECT col::INT AS col, aa, count(*) AS n, round(count(*)::DOUBLE / rows, 9) AS share FROM m, c GROUP BY col, aa, rows")
+def column_composition(spark, sf_dir):
+    return alignment.composition(cells(spark, sf_dir), n_parts(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
+@query(f"WITH {CELLS} SELECT col::INT AS col, count(*) AS n FROM m, c GROUP BY col, rows HAVING count(*) >= 0.1 * rows OR bool_or(row = 0)")
+def occupancy_columns(spark, sf_dir):
+    return alignment.occupancy(cells(spark, sf_dir), n_parts(spark, sf_dir), 0.1, 0)
+
+
+@query(f"WITH {CELLS}, a AS (SELECT col, max(CASE WHEN row = 0 THEN 1 END) AS hit FROM m GROUP BY col), b AS (SELECT col, hit, coalesce(sum(hit) OVER (ORDER BY col), 0) AS major FROM a), d AS (SELECT *, CASE WHEN hit = 1 THEN 0 ELSE row_number() OVER (PARTITION BY major, hit IS NULL ORDER BY col) END AS minor FROM b) SELECT col::INT AS col, CASE WHEN minor = 0 THEN major::BIGINT::VARCHAR ELSE major::BIGINT::VARCHAR || '.' || minor END AS label FROM d")
+def reference_labels(spark, sf_dir):
+    m = cells(spark, sf_dir)
+    return alignment.reference_labels(m.select("col").distinct(), m, 0)
+
+
+@query(f"WITH {CELLS} SELECT col::INT AS col FROM m, c GROUP BY col, rows HAVING count(*) FILTER (aa = 'E')::DOUBLE / rows > 0.1 AND (count(*) FILTER (aa IN ('R', 'I'))::DOUBLE / rows > 0.1 OR (rows - count(*))::DOUBLE / rows > 0.5)")
+def frequency_logic(spark, sf_dir):
+    return alignment.frequency_columns(cells(spark, sf_dir), n_parts(spark, sf_dir), lambda f: (f("E") > 0.1) & ((f("RI") > 0.1) | (f("_") > 0.5)))
+
+
+@query(f"WITH {CELLS}, p AS (SELECT p_type AS population, row FROM n UNION ALL SELECT 'overall', row FROM n), x AS (SELECT population, coalesce(m.aa, '-') AS aa, count(*) AS n FROM p LEFT JOIN m ON m.row = p.row AND m.col = 4 GROUP BY 1, 2) SELECT population, aa, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY population), 9) AS share FROM x")
+def residue_distribution(spark, sf_dir):
+    populations = read(spark, sf_dir, "part").select(F.col("p_type").alias("population"), F.col("p_partkey").alias("row"))
+    return alignment.distribution(cells(spark, sf_dir), populations, 4).withColumn("share", F.round("share", 9))
+
+
+@query(f"WITH {CELLS}, w AS (SELECT col, aa, count(*) AS n FROM m GROUP BY 1, 2), t AS (SELECT col, sum(n) AS t FROM w GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, aa) AS k FROM w WHERE contains('ACDEFGHIKLMNPQRSTVWY', aa)) SELECT r.col::INT AS col, aa, round(n::DOUBLE / rows, 9) AS share, round(t::DOUBLE / rows, 9) AS occupancy FROM r JOIN t ON t.col = r.col, c WHERE k = 1")
+def consensus(spark, sf_dir):
+    w = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), F.lit(1.0).alias("w"))
+    out = alignment.consensus(cells(spark, sf_dir), w, float(n_parts(spark, sf_dir)))
+    return out.select("col", "aa", F.round("share", 9).alias("share"), F.round("occupancy", 9).alias("occupancy"))
+
+
+@query(f"WITH {CELLS}, w AS (SELECT col, aa, count(*)::DOUBLE AS n FROM m WHERE contains('ACDEFGHIKLMNPQRSTVWY', aa) GROUP BY 1, 2), p AS (SELECT *, sum(n) OVER (PARTITION BY col) AS t, n / sum(n) OVER (PARTITION BY col) AS p FROM w), h AS (SELECT col, aa, p, t, -sum(p * log2(p)) OVER (PARTITION BY col) AS h FROM p) SELECT col::INT AS col, aa, round(p * greatest(0, log2(20.0) - (h + 19 / (2 * ln(2.0)) / t)), 6) AS height FROM h")
+def logo_bits(spark, sf_dir):
+    return alignment.logo(cells(spark, sf_dir)).withColumn("height", F.round("height", 6))
+
+
+@query(f"WITH {CELLS}, z AS (SELECT p_type AS subset, count(*) AS size FROM n GROUP BY 1), f AS (SELECT p_type AS subset, col, aa, count(*) AS k FROM m GROUP BY 1, 2, 3), d AS (SELECT f.*, size FROM f JOIN z USING (subset) WHERE k::DOUBLE / size >= 0.2 - 1e-9 AND aa NOT IN ('X', 'B', 'Z', 'J')), i AS (SELECT col, aa, sum(size) AS rows_in, sum(k) AS hit_in FROM d GROUP BY 1, 2), o AS (SELECT col, aa, count(*) AS hit FROM m GROUP BY 1, 2) SELECT subset, d.col::INT AS col, d.aa, round(k::DOUBLE / size, 9) AS inside, round((hit - hit_in)::DOUBLE / (rows - rows_in), 9) AS outside FROM d JOIN i ON i.col = d.col AND i.aa = d.aa JOIN o ON o.col = d.col AND o.aa = d.aa, c WHERE rows > rows_in AND (hit - hit_in)::DOUBLE / (rows - rows_in) < 0.4 - 1e-9")
+def differential_conservation(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    subsets = p.select(F.col("p_type").alias("subset"), F.col("p_partkey").alias("row"))
+    out = alignment.conserved(cells(spark, sf_dir), subsets, subsets.groupBy("subset").agg(F.count("*").alias("size")), p.count(), 0.2, 0.4)
+    return out.select("subset", "col", "aa", F.round("inside", 9).alias("inside"), F.round("outside", 9).alias("outside"))
+
+
+IDENTITY = "d AS (SELECT row_number() OVER (ORDER BY s) AS row, s FROM (SELECT DISTINCT replace(upper(p_name), ' ', '-') AS s FROM part)), m AS (SELECT row, k AS col, substr(s, k, 1) AS aa FROM (SELECT row, s, unnest(range(1, length(s) + 1)) AS k FROM d) WHERE substr(s, k, 1) <> '-'), pr AS (SELECT x.row AS a, y.row AS b FROM d x JOIN d y ON x.row < y.row), b2 AS (SELECT a, b, min(x.col) AS f, max(x.col) AS l FROM pr JOIN m x ON x.row = a JOIN m y ON y.row = b AND y.col = x.col GROUP BY 1, 2), q AS (SELECT b2.a, b2.b, (SELECT count(DISTINCT col) FROM m WHERE (row = b2.a OR row = b2.b) AND col BETWEEN f AND l) AS len, (SELECT count(*) FROM m x JOIN m y ON x.col = y.col AND x.aa = y.aa WHERE x.row = b2.a AND y.row = b2.b AND contains('ACDEFGHIKLMNPQRSTVWY', x.aa)) AS same FROM b2)"
+
+
+def identity(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.replace(F.upper("p_name"), F.lit(" "), F.lit("-")).alias("s")).distinct()
+    rows = rows.withColumn("row", F.row_number().over(Window.orderBy("s")).cast("long"))
+    m = alignment.long_form(rows, "row", "s")
+    both = rows.select(F.col("row").alias("a")).join(rows.select(F.col("row").alias("b")), F.col("a") < F.col("b"))
+    return alignment.identities(m, both)
+
+
+@query(f"WITH {IDENTITY} SELECT pr.a, pr.b, round(same::DOUBLE / len, 9) AS identity FROM pr LEFT JOIN q ON q.a = pr.a AND q.b = pr.b")
+def identity_pairs(spark, sf_dir):
+    return identity(spark, sf_dir).withColumn("identity", F.round("identity", 9))
+
+
+@query(f"WITH {IDENTITY}, z AS (SELECT same::DOUBLE / len AS v FROM q) SELECT round(avg(v), 9) AS mean, round(quantile_cont(v, 0.5), 9) AS median, round(min(v), 9) AS least, round(max(v), 9) AS greatest FROM z")
+def identity_summary(spark, sf_dir):
+    v = F.col("identity")
+    return identity(spark, sf_dir).agg(F.round(F.avg(v), 9).alias("mean"), F.round(F.percentile(v, F.lit(0.5)), 9).alias("median"), F.round(F.min(v), 9).alias("least"), F.round(F.max(v), 9).alias("greatest"))
+
+
+# --- event time --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def events_tumbling(spark, sf_dir):
+    return windows.tumbling(read(spark, sf_dir, "events"), "1 hour").withColumn("total", F.round("total", 6))
+
+
+@query("SELECT time_bucket(INTERVAL 30 MINUTE, ts) - o * INTERVAL 30 MINUTE AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events, (SELECT unnest([0, 1]) AS o) GROUP BY 1, 2")
+def events_sliding(spark, sf_dir):
+    return windows.tumbling(read(spark, sf_dir, "events"), "1 hour", "30 minutes").withColumn("total", F.round("total", 6))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new) AS k FROM g) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k")
+def events_session(spark, sf_dir):
+    return windows.sessions(read(spark, sf_dir, "events"), "20 minutes")
+
+
+@query("SELECT event_id, (props::JSON->>'k')::INT AS k FROM events")
+def events_json(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
