@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm import decontaminate, fingerprints, packing, pii, quality, secrets, simhash, substring_dedup, toxicity
+from meshwright.llm import decontaminate, fingerprints, packing, pii, quality, secrets, simhash, substring_dedup, token_counts, toxicity
 from meshwright.llm._common import documents, table
 
 
@@ -41,6 +41,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), word_bpe())
 
@@ -54,7 +60,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fingerprints, op2_substring_dedup, op3_toxicity, op4_decontamination, op5_simhash, op6_pii, op8_packing, op9_quality, op10_secrets)
+    own = (op1_fingerprints, op2_substring_dedup, op3_toxicity, op4_decontamination, op5_simhash, op6_pii, op7_token_counts, op8_packing, op9_quality, op10_secrets)
     return {f.__name__: f for f in own}
 
 
