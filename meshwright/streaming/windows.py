@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 def tumbling(events: DataFrame, length: str, slide: str | None = None, late: str = "10 minutes", key: str = "event_type") -> DataFrame:
     """Count and sum per window and key; on a stream, rows later than ``late`` are left out."""
-    own = events.withWatermark("ts", late) if events.isStreaming else events
+    own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     return own.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str = "10 minutes", key: str = "user_id") -> DataFrame:
     """Sessions per key: spans of events less than ``gap`` apart."""
-    own = events.withWatermark("ts", late) if events.isStreaming else events
+    own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return own.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 

@@ -51,7 +51,7 @@ def test_jaccard_markov_and_forest(spark):
     j = {(a, b): x for a, b, x in rows(graph.jaccard(e))}
     assert j[0, 1] == 1.0 and j[3, 4] == 2 / 6
     nodes = spark.range(7).withColumnRenamed("id", "node")
-    got = dict(rows(graph.markov_clusters(nodes, e)))
+    got = dict(rows(graph.markov_clusters(nodes, e, rounds=5)))
     assert got[0] == got[3] == 1 and got[4] == got[5] == 2 and got[6] == 3
     forest = graph.spanning_forest(e)
     assert forest.count() == 5 and math.isclose(sum(r["score"] for r in forest.collect()), 3.91)
