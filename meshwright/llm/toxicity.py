@@ -5,8 +5,9 @@ Words (letters and digits, A-Z lower-cased) and their stems are the features, on
 they use that the labels show to be toxic.  One weight per word is shared by all
 thresholds: P(grade > k) = sigmoid(w.x - t_k).  The output is the expected grade.
 
-Fitting uses at most ``MAX_TRAIN`` labelled rows (the first by a hash of their id) and a vocabulary of
-at most ``VOCABULARY`` words; scoring reads every row's whole text.  Null texts count as empty; a text
+Fitting uses at most ``MAX_TRAIN`` labelled rows (the first by a hash of their id), of which the distinct
+words of the whole texts go to the driver, and a vocabulary of at most ``VOCABULARY`` words; scoring reads
+every row's whole text.  Null texts count as empty; a text
 without known words gets the model's base severity.  Rows without an id are scored, not learnt from.
 Without toxic and clean labels every severity is 0.
 """
@@ -120,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("data")).join(F.broadcast(sample), "id")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [b" ".join(words_of(t)[:200_000]) for t in batch.column(1).to_pylist()]
+        words = [b" ".join(sorted(set(words_of(t)))) for t in batch.column(1).to_pylist()]  # each once: features only tell whether a word is there
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), batch.column(2)], ["id", "words", "y"])
 
     rows: list[tuple[int, bytes, int]] = []
