@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.session import ensure_checkpoint_dir, materialize
 
-__all__ = ["arrow_map", "documents", "ensure_checkpoint_dir", "materialize", "table", "text_bytes", "text_or_empty"]
+__all__ = ["arrow_map", "batch_texts", "chunks", "documents", "ensure_checkpoint_dir", "materialize", "table", "text_bytes", "text_or_empty"]
 
 #: Rows that a Python function handles at once; keeps a worker's memory bounded by its texts, not by its partition.
 CHUNK_BYTES = 8 << 20
@@ -34,13 +35,19 @@ def text_bytes(col: str = "text") -> Column:
     return text_or_empty(col).cast("binary")
 
 
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about CHUNK_BYTES of ``column`` (one row at least)."""
+def batch_texts(batch: pa.RecordBatch, text_col: str) -> pa.RecordBatch:
+    """The column ``data``: UTF-8 bytes of a batch's own texts, empty for null, without a second copy sent along."""
+    data = batch.column(text_col).cast(pa.string()).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pc.fill_null(data, b"") if data.null_count else data], ["data"])
+
+
+def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds about ``limit`` bytes of ``column`` (one row at least)."""
     values = batch.column(column)
     start, held = 0, 0
     for k in range(batch.num_rows):
         size = len(values[k].as_buffer()) if values[k].is_valid else 0
-        if k > start and held + size > CHUNK_BYTES:
+        if k > start and held + size > limit:
             yield batch.slice(start, k - start)
             start, held = k, 0
         held += size

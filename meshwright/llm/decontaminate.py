@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm._common import arrow_map, chunks, text_bytes
+from meshwright.llm._common import arrow_map, batch_texts, chunks, text_bytes
 from meshwright.llm._rolling import powers, prefix, scramble, stretches
 
 WINDOW, LEAST, COVERAGE = 8, 5, 0.5
 BLOCK_BYTES = 8 << 20
+#: Bytes of text whose tokens are held at once: some sixty bytes of arrays for each.
+TOKEN_BYTES = 1 << 20
 # Words that are numbers, and units of measure.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds lb ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years cent cents dollar dollars usd euro euros eur percent degree degrees mph kmh volt volts watt watts hertz joule joules newton newtons".split()
@@ -188,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def one(batch: pa.RecordBatch, index: Index = index) -> pa.RecordBatch | None:
             rows = []
-            for part in chunks(batch, "data"):
+            for part in chunks(batch, "data", TOKEN_BYTES):
                 ids = part.column(0).to_pylist()
                 rows += [(ids[t], item, n, total, n / total, same) for t, item, n, total, same in index.matches(part.column(1).to_pylist())]
             if not rows:
@@ -204,16 +206,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` that no item contaminates, filtered in place without a shuffle."""
-    columns, schema = docs.columns, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     for index in benchmark_blocks(benchmark, item_col, "text"):
 
         def one(batch: pa.RecordBatch, index: Index = index) -> pa.RecordBatch:
             keep = []
-            for part in chunks(batch, "_data"):
+            for part in chunks(batch_texts(batch, text_col), "data", TOKEN_BYTES):
                 mine = np.ones(part.num_rows, bool)
-                mine[[t for t, *_ in index.matches(part.column("_data").to_pylist())]] = False
+                mine[[t for t, *_ in index.matches(part.column(0).to_pylist())]] = False
                 keep.append(mine)
-            return batch.filter(pa.array(np.concatenate(keep))).select(columns)
+            return batch.filter(pa.array(np.concatenate(keep)))
 
-        docs = arrow_map(docs.withColumn("_data", text_bytes(text_col)), one, schema)
+        docs = arrow_map(docs, one, schema)
     return docs

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm._common import arrow_map, chunks, materialize, text_bytes
+from meshwright.llm._common import arrow_map, batch_texts, chunks, materialize, text_bytes
 
 #: Labelled rows that the model is fitted on at most.
 MAX_TRAIN = 20_000
@@ -199,11 +199,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model = train(with_features(sample, id_col, text_col), labels, id_col)
     if model is None:
         return docs
-    columns = docs.columns
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.array([features(t) for part in chunks(batch, "_data") for t in part.column(part.schema.get_field_index("_data")).to_pylist()], np.float64)
-        return batch.filter(pa.array(model.score(x) >= THRESHOLD)).select(columns)
+        x = np.array([features(t) for part in chunks(batch_texts(batch, text_col), "data") for t in part.column(0).to_pylist()], np.float64)
+        return batch.filter(pa.array(model.score(x) >= THRESHOLD))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return arrow_map(docs.withColumn("_data", text_bytes(text_col)), one, schema)
+    return arrow_map(docs, one, schema)

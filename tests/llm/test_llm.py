@@ -195,3 +195,18 @@ def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert fingerprints.fingerprint_versions(none).count() == substring_dedup.cut_repeats(none).count() == simhash.simhash_components(none).count() == 0
     assert pii.find_pii(none).count() == secrets.find_secrets(none).count() == packing.pack_documents(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_filters_keep_rows_as_they_are(spark):
+    d, sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "/root/testdata/sf0.01"
+    more = spark.createDataFrame([(None, None), (5_000_001, None), (5_000_002, ""), (5_000_003, "a")], "doc_id long, text string")
+    docs = d.unionByName(more, allowMissingColumns=True).withColumn("data", d.lang).withColumn("_data", d.n_chars)
+    labels, benchmark = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
+    leaks = {r["doc_id"] for r in decontaminate.contaminated(docs, benchmark).collect()}
+    kept = decontaminate.drop_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns and leaks
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r["doc_id"] not in leaks)
+    good = quality.keep_good(docs, labels)
+    assert good.columns == docs.columns
+    chosen = {r["doc_id"] for r in quality.quality_scores(docs, labels).where("predicted = 1").collect()}
+    assert len(chosen ^ {r["doc_id"] for r in good.collect()}) <= 0.002 * docs.count()  # features here are doubles, there floats
