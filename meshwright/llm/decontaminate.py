@@ -7,8 +7,8 @@ must stand for one value of the document throughout, and the other way round, so
 with other numbers or names is caught and a mere likeness of form is not.
 
 A document is contaminated by an item of which at least ``COVERAGE`` of the windows match with
-consistent slots.  Items of one template count as one, under their smallest id.  Items with fewer
-than ``WINDOW`` tokens are matched whole; those under ``LEAST`` tokens, empty or null ones, say too little
+consistent slots.  Items of one template share its windows; each is checked by the values in its own
+slots and reported for itself.  Items with fewer than ``WINDOW`` tokens are matched whole; those under ``LEAST`` tokens, empty or null ones, say too little
 to match.  Null texts count as empty.  Repeated rows are reported once each.
 
 The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text; each block goes to every
@@ -18,6 +18,7 @@ task in turn, so that what is broadcast is bounded whatever the benchmark's size
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -104,27 +105,38 @@ class Tokens:
         return self.data[self.start[k] : self.end[k]].lower()
 
 
+@dataclass
+class Template:
+    """What items of the same template tokens share, and their values."""
+
+    size: int  # tokens of a window
+    windows: int
+    slots: list[int]  # places
+    patterns: dict[tuple[int, ...], list[tuple[int, tuple[bytes, ...]]]]  # by the first slot of equal value of each slot: items and their values
+
+
 class Index:
     """Template windows of a block of the benchmark."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         items = sorted(items)
         tokens = Tokens([t for _, t in items])
-        self.items: list[tuple[int, int, int]] = []  # id, tokens of its window, windows
-        self.slots: list[dict[int, bytes]] = []
+        self.templates: list[Template] = []
         found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         seen: dict[bytes, int] = {}
         hashes = {n: tokens.windows(n) for n in range(LEAST, WINDOW + 1)}
         for k, (item, _) in enumerate(items):
             s, e = int(tokens.bound[k]), int(tokens.bound[k + 1])
             n = min(WINDOW, e - s)
-            if n < LEAST or seen.setdefault(tokens.code[s:e].tobytes(), item) != item:
+            if n < LEAST:
                 continue
-            number = len(self.items)
-            self.items.append((item, n, e - s - n + 1))
-            self.slots.append({j - s: tokens.value(j) for j in range(s, e) if tokens.slot[j]})
-            for j in range(s, e - n + 1):
-                found[n][int(hashes[n][j])].append((number, j - s))
+            number = seen.setdefault(tokens.code[s:e].tobytes(), len(self.templates))
+            if number == len(self.templates):
+                self.templates.append(Template(n, e - s - n + 1, [j - s for j in range(s, e) if tokens.slot[j]], defaultdict(list)))
+                for j in range(s, e - n + 1):
+                    found[n][int(hashes[n][j])].append((number, j - s))
+            values = tuple(tokens.value(s + j) for j in self.templates[number].slots)
+            self.templates[number].patterns[tuple(map(values.index, values))].append((item, values))
         self.places = {n: dict(x) for n, x in found.items()}
         self.sorted = {n: np.sort(np.fromiter(x, np.uint64, len(x))) for n, x in self.places.items()}
         self.filter = {}
@@ -148,28 +160,26 @@ class Index:
                     got[t, number][j - at].append(at)
         out = []
         for (t, number), aligned in sorted(got.items()):
-            item, size, total = self.items[number]
-            there, same = set(), True
-            for shift, at in aligned.items():
-                ok, equal = self._consistent(tokens, number, shift, at, size)
-                if ok:
-                    there.update(at)
-                    same &= equal
-            if len(there) >= COVERAGE * total:
-                out.append((t, item, len(there), total, same))
-        return out
-
-    def _consistent(self, tokens: Tokens, number: int, shift: int, at: list[int], size: int) -> tuple[bool, bool]:
-        slots = self.slots[number]
-        if not slots:
-            return True, True
-        there: dict[bytes, bytes] = {}
-        back: dict[bytes, bytes] = {}
-        for k in sorted({k for a in at for k in range(a, a + size)} & slots.keys()):
-            mine, other = slots[k], tokens.value(shift + k)
-            if there.setdefault(mine, other) != other or back.setdefault(other, mine) != mine:
-                return False, False
-        return True, all(a == b for a, b in there.items())
+            template = self.templates[number]
+            other = {shift: self._read(tokens, template, shift, at) for shift, at in aligned.items()}
+            for pattern, members in template.patterns.items():
+                kept = {shift: at for shift, at in aligned.items() if self._consistent(pattern, other[shift])}
+                there = set().union(*kept.values())
+                if len(there) >= COVERAGE * template.windows:
+                    for item, values in members:
+                        same = all(values[k] == v for shift in kept for k, v in other[shift].items())
+                        out.append((t, item, len(there), template.windows, same))
+        return sorted(out)
+
+    def _read(self, tokens: Tokens, template: Template, shift: int, at: list[int]) -> dict[int, bytes]:
+        """The document's values in the slots, by number, that windows matched along one alignment hold."""
+        inside = {k for a in at for k in range(a, a + template.size)}
+        return {k: tokens.value(shift + j) for k, j in enumerate(template.slots) if j in inside}
+
+    def _consistent(self, pattern: tuple[int, ...], other: dict[int, bytes]) -> bool:
+        there: dict[int, bytes] = {}
+        back: dict[bytes, int] = {}
+        return all(there.setdefault(pattern[k], v) == v and back.setdefault(v, pattern[k]) == pattern[k] for k, v in other.items())
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str):

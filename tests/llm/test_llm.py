@@ -180,6 +180,16 @@ def test_decontamination():
     assert [(t, item) for t, item, *_ in got] == [(0, 1), (3, 4)]
 
 
+def test_items_of_one_template_keep_their_values():
+    text = "When %s has %d apples and %s has %d apples, how many apples do %s and %s have in all baskets?"
+    items = [(1, text % ("Alice", 5, "Bob", 5, "Alice", "Bob")), (2, text % ("Alice", 5, "Bob", 7, "Alice", "Bob")), (3, text % ("Alice", 4, "Bob", 9, "Bob", "Alice"))]
+    index = decontaminate.Index([(k, t.encode()) for k, t in items])
+    got = index.matches([t.encode() for _, t in items])
+    assert {(t, item) for t, item, *_, same in got if same} == {(0, 1), (1, 2), (2, 3)}
+    got = index.matches([(text % ("Carol", 8, "Dave", 6, "Carol", "Dave")).encode()])
+    assert [item for _, item, *_ in got] == [2]
+
+
 def test_classifiers(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.quality_scores(d, labels).join(labels, "doc_id").where("held_out").collect()
