@@ -27,6 +27,8 @@ from meshwright.operators.components import connected_components
 
 #: Members of a bucket that one task compares among themselves.
 BLOCK = 16_384
+#: Text of a group that one task compares exactly among itself; larger groups are dealt out as pairs of blocks.
+GROUP_BYTES = 16 << 20
 #: Shingles whose bits are unpacked at once.
 _STEP = 1 << 15
 
@@ -199,7 +201,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def sampled_signatures(docs: DataFrame, id_col: str, text_col: str, ngram: int, tables: int, sample: int, width: int) -> DataFrame:
-    """``(id, t0, t1, w0.., keys)``: a text's digest, its wide fingerprint and, per table, the SimHash of its ``sample`` least shingles."""
+    """``(id, t0, t1, bytes, w0.., keys)``: a text's digest and length, the wide fingerprint of its set of shingles and, per table, the SimHash of its ``sample`` least shingles."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = []
@@ -209,10 +211,9 @@ def sampled_signatures(docs: DataFrame, id_col: str, text_col: str, ngram: int,
             pair = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
             words, keys = np.empty((len(texts), width), "<u8"), np.empty((len(texts), tables), "<u8")
             for r, t in enumerate(texts):
-                h = shingle_hashes(t, ngram)
+                unique = np.unique(shingle_hashes(t, ngram))
                 for k in range(width):
-                    words[r, k] = simhash(mix(h, k))
-                unique = np.unique(h)
+                    words[r, k] = simhash(mix(unique, k))
                 for k in range(tables):
                     m = mix(unique, 101 + k)
                     if len(m) > sample:
@@ -220,20 +221,74 @@ def sampled_signatures(docs: DataFrame, id_col: str, text_col: str, ngram: int,
                     keys[r, k] = simhash(mix(m, 1)) ^ (k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
             flat = pa.array(keys.view("<i8").reshape(-1))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype="<i4") * tables), flat)
-            cols = [ids, pa.array(pair[:, 0]), pa.array(pair[:, 1]), *(pa.array(np.ascontiguousarray(words[:, k]).view("<i8")) for k in range(width)), listed]
-            parts.append(pa.RecordBatch.from_arrays(cols, ["id", "t0", "t1", *(f"w{k}" for k in range(width)), "keys"]))
+            cols = [ids, pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(np.ascontiguousarray(words[:, k]).view("<i8")) for k in range(width)), listed]
+            parts.append(pa.RecordBatch.from_arrays(cols, ["id", "t0", "t1", "bytes", *(f"w{k}" for k in range(width)), "keys"]))
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
-    schema = "id long, t0 long, t1 long, " + ", ".join(f"w{k} long" for k in range(width)) + ", keys array<bigint>"
+    schema = "id long, t0 long, t1 long, bytes long, " + ", ".join(f"w{k} long" for k in range(width)) + ", keys array<bigint>"
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("data")), one, schema)
 
 
-def bits_apart(similarity: float, width: int) -> int:
-    """Hamming distance of ``width`` x 64-bit fingerprints expected at a Jaccard similarity, and 1.6 deviations more."""
+def bits_apart(similarity: float, width: int, deviations: float = 4.0) -> int:
+    """Hamming distance of ``width`` x 64-bit fingerprints expected at a Jaccard similarity, and some deviations more."""
     cosine = 2 * similarity / (1 + similarity)
     share = np.arccos(cosine) / np.pi
     n = 64 * width
-    return int(n * share + 1.6 * np.sqrt(n * share * (1 - share)))
+    return int(n * share + deviations * np.sqrt(n * share * (1 - share)))
+
+
+def exact_forest(sets: list[np.ndarray], nodes: list[int], similarity: float) -> tuple[list[int], list[int]]:
+    """Spanning forest of the pairs of shingle sets whose Jaccard similarity is ``similarity`` or more; empty sets are alike."""
+    a, b = [], []
+    sets = [s if len(s) else np.zeros(1, "<u8") for s in sets]
+    size = np.array([len(s) for s in sets])
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
+    mark = np.zeros(1 + max(int(c.max()) for c in codes), bool)
+    rest = np.arange(len(nodes))
+    flat = None
+    while len(rest):
+        stack, rest, flat = [rest[0]], rest[1:], None
+        while stack and len(rest):
+            i = stack.pop()
+            if flat is None:
+                flat, starts = np.concatenate([codes[k] for k in rest]), np.concatenate(([0], np.cumsum(size[rest])[:-1]))
+            mark[codes[i]] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[codes[i]] = False
+            near = both >= similarity * (size[i] + size[rest] - both) - 1e-9
+            if near.any():
+                found = rest[near]
+                a += [nodes[i]] * len(found)
+                b += [nodes[k] for k in found]
+                stack += found.tolist()
+                rest, flat = rest[~near], None
+    return a, b
+
+
+def exact_links(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of a Jaccard similarity of ``similarity`` or more within each key of ``texts (key, node, t0, t1, data)``."""
+
+    def settle(members: dict[int, np.ndarray]) -> pa.RecordBatch | None:
+        a, b = exact_forest(list(members.values()), list(members), similarity) if len(members) > 1 else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, {}
+        for batch in batches:
+            keys, nodes, t0, t1 = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            for r, text in enumerate(batch.column(4)):
+                if keys[r] != key:
+                    if (out := settle(members)) is not None:
+                        yield out
+                    key, members = keys[r], {}
+                text = text.as_py()
+                # an id may stand for several texts: only the node's own counts
+                if int(nodes[r]) not in members and xxhash.xxh3_128_digest(text) == np.array([t0[r], t1[r]], "<i8").tobytes():
+                    members[int(nodes[r])] = np.unique(shingle_hashes(text, ngram))
+        if (out := settle(members)) is not None:
+            yield out
+
+    return texts.select("key", "node", "t0", "t1", "data").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, tables: int = 10, sample: int = 4, width: int = 4) -> DataFrame:
@@ -241,17 +296,28 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     At a similarity of 0.8 whole-text fingerprints differ by some ten bits of 64, beyond the reach of
     wildcard segments.  The index here holds SimHashes of samples (per table the few least shingles),
-    which are equal with probability s^sample, and candidates are verified on a fingerprint of
-    ``64 * width`` bits.  Equal texts are one class before that.
+    which are equal with probability s^sample, and passes candidates by a loose limit on a fingerprint of
+    ``64 * width`` bits.  Texts that candidates connect are brought together once, and only pairs of
+    sufficient Jaccard similarity of their whole shingle sets are linked.  Equal texts are one class
+    before that, named by half of their digest.
     """
-    signed = materialize(sampled_signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, ngram, tables, sample, width))
+    named = docs.where(F.col(id_col).isNotNull())
+    signed = materialize(sampled_signatures(named, id_col, text_col, ngram, tables, sample, width))
     words = [f"w{k}" for k in range(width)]
-    classes = signed.groupBy("t0", "t1").agg(F.min("id").alias("node"), *(F.first(w).alias(w) for w in [*words, "keys"]))
-    classes = materialize(classes)
+    classes = signed.groupBy("t0", "t1").agg(F.min("id").alias("id"), F.first("bytes").alias("bytes"), *(F.first(w).alias(w) for w in [*words, "keys"]))
+    classes = materialize(classes.withColumn("node", F.col("t0")))
     index = classes.select(F.explode("keys").alias("key"), "node", *words)
-    component = connected_components(bucket_links(index, width, bits_apart(similarity, width)))
-    named = classes.join(component, "node", "left").select("t0", "t1", F.coalesce("component", "node").alias("component_id"))
-    return signed.select("id", "t0", "t1").join(named, ["t0", "t1"]).select(F.col("id").alias(id_col), "component_id")
+    loose = connected_components(bucket_links(index, width, bits_apart(similarity, width)))
+    placed = materialize(classes.join(loose, "node").select("id", "t0", "t1", "bytes", "node", F.col("component").alias("group")))
+    blocks = placed.groupBy("group").agg(F.ceil((F.sum("bytes") + 1) / F.lit(GROUP_BYTES)).alias("blocks"))
+    dealt = placed.join(blocks, "group").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("id", "t0", "t1", "node", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
+    texts = named.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("data")).join(dealt, "id")
+    component = connected_components(exact_links(texts, ngram, similarity))
+    rooted = classes.join(component, "node", "left").select("t0", "t1", "id", F.coalesce("component", "node").alias("root"))
+    leaders = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    found = rooted.join(leaders, "root").select("t0", "t1", "component_id")
+    return signed.select("id", "t0", "t1").join(found, ["t0", "t1"]).select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

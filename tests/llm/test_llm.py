@@ -105,6 +105,26 @@ def test_hot_buckets_lose_no_link(spark, monkeypatch):
     assert got == connected_components(simhash.bucket_links(index, 1, 3)).select("component").distinct().count()
 
 
+@pytest.mark.parametrize("limit", [simhash.GROUP_BYTES, 3_000])
+def test_near_duplicates_are_as_alike_as_promised(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "GROUP_BYTES", limit)
+    rng, texts = random.Random(5), []
+    for _ in range(12):
+        words = [f"w{rng.randrange(9_000)}" for _ in range(120)]
+        for n in (0, 1, 2, 3, 4, 5, 6, 8, 10):
+            copy = list(words)
+            for k in rng.sample(range(120), n):
+                copy[k] = f"x{rng.randrange(9_000)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    root = list(range(len(texts)))
+    for i, j in sorted(near) * 9:
+        root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(df).collect()} == dict(enumerate(root))
+
+
 def spans_of(kinds, text):
     found = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m))
     return hashlib.sha256(",".join(f"{kinds[k][0]}:{s}:{e}" for s, k, e in found).encode()).hexdigest()
