@@ -3,11 +3,13 @@
 Texts become tokens (runs of letters and digits, lower-cased); numbers, units and names become typed
 placeholders.  Windows of ``WINDOW`` template tokens are hashed and joined with those of the
 benchmark.  Windows that match along one alignment are checked slot by slot: a value of the item
-must stand for one value of the document throughout, and the other way round, so that a question
-with other numbers or names is caught and a mere likeness of form is not.
+must stand for one value of the document, so that a question with other numbers or names is caught
+and a mere likeness of form is not.  Where it stands for several, the most frequent counts, at a tie
+the item's own or else none, and windows that hold another are dropped.
 
 A document is contaminated by an item of which at least ``COVERAGE`` of the windows match with
-consistent slots.  Items of one template share its windows; each is checked by the values in its own
+consistent slots, or windows that hold ``COVERED`` of the tokens, or a passage of windows in a row
+with ``PASSAGE`` tokens besides slots of other values.  Items of one template share its windows; each is checked by the values in its own
 slots and reported for itself.  Items with fewer than ``WINDOW`` tokens are matched whole; those under ``LEAST`` tokens, empty or null ones, say too little
 to match.  Null texts count as empty.  Repeated rows are reported once each.
 
@@ -17,7 +19,7 @@ task in turn, so that what is broadcast is bounded whatever the benchmark's size
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,7 @@ from meshwright.llm._common import arrow_map, batch_texts, chunks, text_bytes
 from meshwright.llm._rolling import powers, prefix, scramble, stretches
 
 WINDOW, LEAST, COVERAGE = 8, 5, 0.5
+COVERED, PASSAGE = 0.75, 20
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose tokens are held at once: some sixty bytes of arrays for each.
 TOKEN_BYTES = 1 << 20
@@ -114,6 +117,23 @@ class Template:
     slots: list[int]  # places
     patterns: dict[tuple[int, ...], list[tuple[int, tuple[bytes, ...]]]]  # by the first slot of equal value of each slot: items and their values
 
+    def without(self, at: list[int], places: list[int]) -> list[int]:
+        """The windows that hold none of ``places``."""
+        return [a for a in at if not any(a <= p < a + self.size for p in places)]
+
+    def covered(self, there: list[int]) -> int:
+        """Tokens in windows (in order)."""
+        return sum(min(self.size, b - a) for a, b in zip(there, there[1:], strict=False)) + self.size if there else 0
+
+    def passage(self, at: list[int], changed: list[int]) -> int:
+        """Tokens of the longest passage of windows in a row, without the places that ``changed``."""
+        best, start = 0, None
+        for k, a in enumerate(at):
+            start = a if k == 0 or a != at[k - 1] + 1 else start
+            end = a + self.size
+            best = max(best, end - start - sum(start <= p < end for p in changed)) if end - start >= PASSAGE else best
+        return best
+
 
 class Index:
     """Template windows of a block of the benchmark."""
@@ -163,12 +183,16 @@ class Index:
             template = self.templates[number]
             other = {shift: self._read(tokens, template, shift, at) for shift, at in aligned.items()}
             for pattern, members in template.patterns.items():
-                kept = {shift: at for shift, at in aligned.items() if self._consistent(pattern, other[shift])}
-                there = set().union(*kept.values())
-                if len(there) >= COVERAGE * template.windows:
-                    for item, values in members:
-                        same = all(values[k] == v for shift in kept for k, v in other[shift].items())
-                        out.append((t, item, len(there), template.windows, same))
+                doubts = {shift: self._doubts(pattern, read) for shift, read in other.items()}
+                kept = None
+                for item, values in members:
+                    if kept is None or any(doubts.values()):  # members differ where their own values settle doubts
+                        kept = {shift: template.without(sorted(at), self._wrong(template, values, doubts[shift], other[shift])) for shift, at in aligned.items()}
+                        there = sorted(set().union(*kept.values()))
+                        enough = len(there) >= COVERAGE * template.windows or template.covered(there) >= COVERED * (template.windows + template.size - 1)
+                    changed = {shift: [template.slots[k] for k, v in other[shift].items() if v != values[k]] for shift, at in kept.items() if at}
+                    if enough or any(template.passage(kept[shift], places) >= PASSAGE for shift, places in changed.items()):
+                        out.append((t, item, len(there), template.windows, not any(changed.values())))
         return sorted(out)
 
     def _read(self, tokens: Tokens, template: Template, shift: int, at: list[int]) -> dict[int, bytes]:
@@ -176,10 +200,25 @@ class Index:
         inside = {k for a in at for k in range(a, a + template.size)}
         return {k: tokens.value(shift + j) for k, j in enumerate(template.slots) if j in inside}
 
-    def _consistent(self, pattern: tuple[int, ...], other: dict[int, bytes]) -> bool:
-        there: dict[int, bytes] = {}
-        back: dict[bytes, int] = {}
-        return all(there.setdefault(pattern[k], v) == v and back.setdefault(v, pattern[k]) == pattern[k] for k, v in other.items())
+    def _doubts(self, pattern: tuple[int, ...], other: dict[int, bytes]) -> list[tuple[list[int], list[bytes]]]:
+        """Slots of one value that stand for several, and the most frequent of these."""
+        classes: dict[int, list[int]] = defaultdict(list)
+        for k in other:
+            classes[pattern[k]].append(k)
+        out = []
+        for slots in classes.values():
+            counts = Counter(other[k] for k in slots)
+            if len(counts) > 1:
+                out.append((slots, [v for v, n in counts.items() if n == max(counts.values())]))
+        return out
+
+    def _wrong(self, template: Template, values: tuple[bytes, ...], doubts: list, other: dict[int, bytes]) -> list[int]:
+        """Places of the slots that hold another value than the one that counts."""
+        out = []
+        for slots, best in doubts:
+            counts = best[0] if len(best) == 1 else values[slots[0]] if values[slots[0]] in best else None
+            out += [template.slots[k] for k in slots if other[k] != counts]
+        return out
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str):

@@ -200,6 +200,15 @@ def test_decontamination():
     assert [(t, item) for t, item, *_ in got] == [(0, 1), (3, 4)]
 
 
+def test_altered_copies_and_passages_are_found():
+    question = "When %s has %d apples and Bob has %d apples. How many apples do %s and Bob have after 5 days?"
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}word" for k in range(59)]
+    changed = [f"other{w}" if k % 12 == 11 else w for k, w in enumerate(words)]
+    index = decontaminate.Index([(1, (question % ("Alice", 3, 12, "Alice")).encode()), (2, " ".join(words).encode())])
+    texts = [question % ("Alice", 4, 4, "Alice"), question % ("Alice", 3, 12, "Eve"), question % ("Carol", 7, 2, "Eve"), " ".join(words[10:35]), " ".join(changed), " ".join(words[10:25])]
+    assert [(t, item) for t, item, *_ in index.matches([t.encode() for t in texts])] == [(0, 1), (1, 1), (3, 2), (4, 2)]
+
+
 def test_items_of_one_template_keep_their_values():
     text = "When %s has %d apples and %s has %d apples, how many apples do %s and %s have in all baskets?"
     items = [(1, text % ("Alice", 5, "Bob", 5, "Alice", "Bob")), (2, text % ("Alice", 5, "Bob", 7, "Alice", "Bob")), (3, text % ("Alice", 4, "Bob", 9, "Bob", "Alice"))]
