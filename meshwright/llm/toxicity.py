@@ -31,9 +31,8 @@ STEMS = (4, 6)
 GRADES = 4
 STEPS, RATE, RIDGE = 400, 0.15, 1e-5
 #: Deviations from chance at which a word enters the vocabulary: labels are noisy, and rare words would fit their noise.
+#: Not in proportion to the best word's, which languages with few toxic rows would not reach.
 SIGNIFICANT = 6.0
-#: The same as a share of the best word's: copies of one toxic text make its rare words look significant.
-LEAST_SHARE = 0.4
 #: Log odds from which a word counts as toxic when grades are dealt.
 TOXIC_ODDS = 2.0
 #: Expected severity from which a text counts as toxic.
@@ -93,8 +92,7 @@ def fit(rows: list[list[bytes]], toxic: np.ndarray) -> OrdinalModel:
     share = toxic.mean()
     informative = lambda w: abs(positive[w] - share * df[w]) / math.sqrt(df[w] * share * (1 - share) + 1)
     worth = {w: informative(w) for w, c in df.items() if c >= LEAST_ROWS}
-    least = max(SIGNIFICANT, LEAST_SHARE * max(worth.values(), default=0))
-    chosen = sorted((w for w, x in worth.items() if x >= least), key=lambda w: (-worth[w], w))[:VOCABULARY]
+    chosen = sorted((w for w, x in worth.items() if x >= SIGNIFICANT), key=lambda w: (-worth[w], w))[:VOCABULARY]
     place = {w: k for k, w in enumerate(chosen)}
     found = [sorted(place[w] for w in own & place.keys()) for own in has]
     row_of = np.repeat(np.arange(len(rows)), [len(f) for f in found])

@@ -230,6 +230,14 @@ def test_classifiers(spark):
     assert toxicity.severities(d, labels.limit(0)).where("severity = 0").count() == d.count()
 
 
+def test_toxic_texts_are_found_in_every_language(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.severities(d, labels).withColumnRenamed("toxic", "found").join(labels, "doc_id").join(d.select("doc_id", "lang"), "doc_id").where("toxic in (0, 1)").collect()
+    for lang in {r["lang"] for r in got}:
+        assert np.mean([r["found"] for r in got if r["lang"] == lang and r["toxic"] == 1]) > 0.85
+    assert np.mean([r["found"] for r in got if r["toxic"] == 0]) < 0.03
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert fingerprints.fingerprint_versions(none).count() == substring_dedup.cut_repeats(none).count() == simhash.simhash_components(none).count() == 0
