@@ -151,6 +151,13 @@ def test_redact(spark):
     assert [r["text"] for r in pii.redact(df).collect()] == ["mail é [EMAIL] or [CARD].", None, "[IBAN] iban"]
 
 
+def test_ibans_before_words_and_numbers(spark):
+    lines = ["GB82 WEST 1234 5698 7654 32 Please", "DE89370400440532013000 2024", "DE89 3704 0044 0532 0130 00 BIC X", "AB12 GB82 WEST 1234 5698 7654 32", "NO9386011117947 SEK", "DE89370400440532013000X", "GB82 WEST 1234 5698 7654 33 Please"]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    spans = {k: [p for p in v.split(",") if p.startswith("iban")] for k, v in got.items()}
+    assert spans == {0: ["iban:0:27"], 1: ["iban:0:22"], 2: ["iban:0:27"], 3: ["iban:5:32"], 4: ["iban:0:15"], 5: [], 6: []}
+
+
 def test_secrets(docs, rows):
     word = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
     kinds = [("assign", rf"""(?:{word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
