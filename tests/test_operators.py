@@ -19,6 +19,28 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
+def test_every_pair_is_aligned_and_every_query_searched(spark, tmp_path):
+    from meshwright.plans import catalog
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(45, 64))
+    df = spark.createDataFrame([(k, v.tolist(), k % 10) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["i"], r["j"]): r for r in catalog.queries()["dp_alignment"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(i, j) for j in range(45) for i in range(j)}
+    for (i, j), r in got.items():
+        s = dynamic.score_matrix(vectors[i].reshape(8, 8), vectors[j].reshape(8, 8))
+        g, l = dynamic.align(s, 0.0), dynamic.align(s, -2.0, True)
+        assert math.isclose(r["g_score"], g[0], abs_tol=1e-9) and math.isclose(r["l_score"], l[0], abs_tol=1e-9)
+        assert (r["g_len"], r["l_len"], r["matched"]) == (g[1], l[1], len(g[2]))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = []
+    for q in (0, 20, 40):
+        best = sorted((-round(float(unit[q] @ unit[k]), 6), k) for k in range(45) if k != q)
+        want += [(q, rank, k) for rank, (score, k) in enumerate(best[:20], 1) if -score >= 0.05]
+    assert [x[:3] for x in rows(catalog.queries()["search_topk_queries"](spark, str(tmp_path)))] == want
+
+
 def test_components_and_empty(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 101), (None, 5)], "a long, b long")
     got = dict(rows(connected_components(chain)))
