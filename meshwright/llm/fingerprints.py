@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A text is cut into paragraphs (lines; long lines at sentence ends, longer ones every few words), each
-digested by XXH64.  A sketch has 24 cells in three rows of eight; a digest falls into one cell of
+A text is cut into paragraphs (lines; long lines at sentence ends, longer ones every few words, what
+has no such words every few bytes), each digested by XXH64.  A sketch has 24 cells in three rows of eight; a digest falls into one cell of
 each row, and a cell holds a count, the XOR of its digests and the XOR of their checks.  Sketches
 of two versions are subtracted cell by cell, which cancels what they share; peeling cells with one
 digest left then recovers the digests on either side.  Where that fails, the digests are dealt by
@@ -26,8 +26,10 @@ from meshwright.llm._common import text_or_empty
 ROWS, WIDTH = 3, 8
 #: Cells in a row of a block, digests of a difference that a block is dealt, and rounds of peeling.
 BLOCK_WIDTH, LOAD, ROUNDS = 4, 6, 12
-#: Code points of a paragraph before it is cut at sentence ends; the same in a short text, and what is short.
-LONG, LONG_IN_SHORT, SHORT = 400, 30, 600
+#: Code points of a paragraph before it is cut at sentence ends and words, and of a piece before it is cut after bytes.
+LONG, UNCUT = 30, 120
+#: Behind one byte value of 16, spread over all of them.
+CUT_BYTES = "(?<=[" + "".join(f"\\x{b:02x}" for b in range(256) if (b * 167 >> 2) % 16 == 3) + "])"
 CELL = "struct<n:int,x:bigint,c:bigint>"
 #: Neighbouring documents per bucket of the ordering by id.
 BUCKET_ROWS = 4000
@@ -41,14 +43,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def paragraphs(text: Column) -> Column:
     """The paragraphs of a text, by rules that an edit elsewhere does not disturb.
 
-    These are its lines; a line over LONG is cut before some sentences (by their first letter), what
-    is still over twice LONG after some words (by their last letter).  A short text, of fewer
-    paragraphs, is cut at every sentence end and after more words.
+    These are its lines; a line over LONG is cut at sentence ends, what is still over LONG after some
+    words (by their last letter), and what none of this cuts to UNCUT, in any script or without
+    spaces, after some bytes of its UTF-8 form.  The rules are the same at all lengths, so that an
+    edit that shortens a text does not cut it otherwise.
     """
+    after_bytes = lambda w: F.when(F.length(w) <= UNCUT, F.array(w)).otherwise(F.split(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), CUT_BYTES))
+    after_words = lambda q: F.when(F.length(q) <= LONG, F.array(q)).otherwise(F.flatten(F.transform(F.split(q, r"(?<=[\w,|!*$%&#]{2}[aeg,|!*$%&#])\s+"), after_bytes)))
     lines = F.split(text, r"\n+")
-    coarse = F.transform(lines, lambda p: F.when(F.length(p) <= LONG, F.array(p)).otherwise(F.flatten(F.transform(F.split(p, r"(?<=[.!?])\s+(?=[A-H])"), lambda q: F.when(F.length(q) <= 2 * LONG, F.array(q)).otherwise(F.split(q, r"(?<=[\w.,|!*$%&#](?:re|er|[,|!*$%&#]{2}))\s+(?=[a-hA-H])"))))))
-    fine = F.transform(lines, lambda p: F.when(F.length(p) <= LONG_IN_SHORT, F.array(p)).otherwise(F.flatten(F.transform(F.split(p, r"(?<=[.!?])\s+"), lambda q: F.when(F.length(q) <= LONG_IN_SHORT, F.array(q)).otherwise(F.split(q, r"(?<=[\w,|!*$%&#]{2}[aeg,|!*$%&#])\s+"))))))
-    return F.filter(F.flatten(F.when(F.length(text) < SHORT, fine).otherwise(coarse)), lambda p: p != "")
+    cut = F.transform(lines, lambda p: F.when(F.length(p) <= LONG, F.array(p)).otherwise(F.flatten(F.transform(F.split(p, r"(?<=[.!?])\s+"), after_words))))
+    return F.filter(F.flatten(cut), lambda p: p != "")
 
 
 def digests(text: Column) -> Column:

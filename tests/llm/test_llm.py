@@ -56,6 +56,16 @@ def test_peeling_recovers_the_difference(spark):
         assert set(r["d"]["left"]) == set(r["a"]) - set(r["b"]) and set(r["d"]["right"]) == set(r["b"]) - set(r["a"])
 
 
+def test_fingerprints_share_what_longer_texts_share(spark):
+    rng = random.Random(4)
+    latin = lambda: " ".join("".join(rng.choice("ijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(70))
+    greek = lambda: " ".join("".join(chr(rng.randrange(0x3B1, 0x3C9)) for _ in range(7)) for _ in range(90))
+    han = lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(700))
+    texts = [f() for f in (latin, greek, han) for _ in range(8)]
+    got = fingerprints.fingerprint_versions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["near_edited"], r["near_next"]) for r in got if r["near_edited"] <= max(0.25, r["near_next"])] == []
+
+
 def test_substring_dedup(docs, rows, monkeypatch):
     seen, want = set(), {}
     for i, t in sorted(rows):
