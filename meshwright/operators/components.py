@@ -1,7 +1,8 @@
 """Connected components over an edge table, by alternating large-star and small-star rounds.
 
-Hot nodes never meet in one task: minima are partially aggregated, and the joins that hand a
-minimum back to the edges of a node are plain equi-joins that AQE splits when they are skewed.
+Hot nodes never meet in one task: least neighbours are aggregated partially, and a node of more than
+``HUB`` edges gets its least neighbour from a broadcast table instead of a join on the node.  That
+table has at most ``HUBS`` rows, whatever the graph: the limit rises with the number of edges.
 """
 
 from __future__ import annotations
@@ -11,34 +12,51 @@ from pyspark.sql import functions as F
 
 from meshwright.session import materialize
 
+#: Edges of a node that are joined in one task at least, and nodes whose edges are not.
+HUB, HUBS = 64, 50_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """``edges (a, b)`` with ``m``: the least ``b`` of their ``a``; ``n`` is at least the number of edges."""
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    limit = max(HUB, -(-n // HUBS))
+    hubs = low.where(F.col("n") > limit).select("a", F.col("m").alias("hub"))
+    marked = edges.join(F.broadcast(hubs), "a", "left")  # n / limit rows at most
+    # Edges of hubs are spread by a hash that need not find anything.
+    key = F.when(F.col("hub").isNull(), F.col("a")).otherwise(F.xxhash64("a", "b").cast(edges.schema["a"].dataType))
+    found = marked.withColumn("key", key).join(low.select(F.col("a").alias("key"), "m"), "key", "left")
+    return found.select("a", "b", F.coalesce("hub", "m").alias("m"))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("m", "a").alias("m"))
-    return both.join(low, both.a == low.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, 2 * n).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-    moved = edges.join(low, edges.a == low.u).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Edges lead from greater to smaller nodes; all others of a node are tied to its least, and so is the node."""
+    found = _with_least(edges, n)
+    return found.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(edges.groupBy("a").agg(F.min("b").alias("b")))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Return ``(node, component)`` for every node of an edge; component is its smallest node.
 
-    Self edges and rows with a null end are ignored; repeated edges count once.  Each round is
-    checkpointed to shared storage, so a lost executor costs at most that round.
+    Self edges and rows with a null end are ignored; repeated edges count once; without edges the
+    result is empty.  Each round is checkpointed to shared storage, so a lost executor costs at most
+    that round.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` is not null and `{b}` is not null and a <> b")
     e = materialize(e.distinct())
-    state = None
+    state = (e.count(), None)
     for _ in range(max_rounds):
-        e = materialize(_small_star(_large_star(e)).where("a <> b").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        if not state[0]:
+            break
+        e = materialize(_small_star(_large_star(e, state[0]).distinct(), state[0]).where("a <> b").distinct())
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == state:
             break
-        state = tuple(now)
+        state = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; fall back to a temporary folder only where it is unset (tests)."""
+    """Use ``spark.checkpoint.dir``; a temporary folder takes its place on a local master only (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries made inside delete their shuffle files when they end; a lost one is made again by its stage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
-def release(spark: SparkSession, rounds: int = 3) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    for _ in range(rounds):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder, cut its lineage there and drop its shuffle files."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    with _dropping_shuffles(spark):
+        return df.select("*").checkpoint(eager=True)
