@@ -10,7 +10,9 @@ whole, which is the same table made larger; blocks that still fail are dealt out
 bits, and what is left after that is compared digest by digest.
 
 Null and empty texts have no paragraphs: their sketch is empty and they are alike to each other (1.0)
-and to nothing else (0.0).  A fingerprint depends on the text alone.
+and to nothing else (0.0).  A fingerprint depends on the text alone.  Repeated rows are versions of their
+own, each the next of another; extra columns are not read; very long texts are cut whole, within one
+row's memory; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ LONG, UNCUT = 30, 120
 #: Behind one byte value of 16, spread over all of them.
 CUT_BYTES = "(?<=[" + "".join(f"\\x{b:02x}" for b in range(256) if (b * 167 >> 2) % 16 == 3) + "])"
 CELL = "struct<n:int,x:bigint,c:bigint>"
-#: Neighbouring documents per bucket of the ordering by id.
-BUCKET_ROWS = 4000
+#: Neighbouring documents per bucket of the ordering by id, and buckets; of more documents each has its share.
+BUCKET_ROWS, MAX_BUCKETS = 500, 65_536
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -167,43 +169,51 @@ def as_text(found: Column, cells: Column) -> Column:
     return F.concat(F.size(found).cast("string"), F.lit("|"), F.array_join(F.transform(cells, cell), ","))
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str], prefix: str = "next_") -> DataFrame:
-    """Add ``prefix`` + column of the next row in descending id; after the last comes the first.
+def with_next(docs: DataFrame, id_col: str, text_col: str, derive: Callable[[DataFrame], DataFrame], columns: list[str], prefix: str = "next_") -> DataFrame:
+    """``derive(docs)`` with ``prefix`` + column of the next row in descending id; after the last comes the first.
 
-    The order is cut at quantiles of the id, a bucket a task; the greatest row of a bucket is also
-    dealt to the bucket above, where it follows the least.  Rows that share an id follow one
-    another by their columns, rows without an id come last.
+    Rows that share an id follow one another by a hash of their text, then by their text; rows without
+    an id come last.  The order is cut into buckets of some BUCKET_ROWS rows, at most MAX_BUCKETS, at
+    quantiles of the id; an id of more rows than two buckets is cut by the hash.  Of the next bucket's
+    rows those of its first key are dealt to a bucket as well.  ``derive`` works on the rows where they
+    were dealt, so that what it adds is not shuffled.
     """
-    n, low, high = docs.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
-    buckets = int(min(65_536, max(1, n // BUCKET_ROWS)))
-    bounds: list[int] = []
-    if high is not None:
-        cuts = docs.agg(F.percentile_approx(id_col, [k / buckets for k in range(1, buckets)], 20 * buckets)).first()[0] if buckets > 1 else []
-        bounds = sorted({*cuts, high})
-    array = lambda xs: F.expr(f"array({','.join(f'{x}L' for x in xs)})") if xs else F.array().cast("array<bigint>")
+    spark = docs.sparkSession
+    hashed = F.shiftrightunsigned(F.xxhash64(text_col), 1)
+    n = docs.count()
+    per = max(BUCKET_ROWS, n // MAX_BUCKETS + 1)
+    hot = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 2 * per).collect()  # n / (2 * per) rows at most
+    cuts = docs.agg(F.percentile_approx(id_col, [k / (n // per) for k in range(1, n // per)], 20 * (n // per))).first()[0] if n >= 2 * per else None
+    bounds = sorted({*(cuts or []), *(x for r in hot if r[0] is not None for x in (r[0] - 1, r[0]))})
     step = max(1, int(len(bounds) ** 0.5))
-    outer = array(bounds[step - 1 :: step])
-    inner = F.slice(array(bounds), F.col("_outer") * step + 1, step)
-    placed = docs.withColumn("_outer", F.size(F.filter(outer, lambda b: b < F.col(id_col)))).withColumn("_bucket", F.coalesce(F.col("_outer") * step + F.size(F.filter(inner, lambda b: b < F.col(id_col))), F.lit(0)))
-    edge = F.array_contains(array(bounds), F.col(id_col))
-    home = F.array(F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("ghost")))
-    above = F.struct(F.when(F.col(id_col) == F.lit(high), 0).otherwise(F.col("_bucket") + 1).alias("bucket"), F.when(F.col(id_col) == F.lit(high), 2).otherwise(1).alias("ghost"))
-    dealt = placed.withColumn("_deal", F.explode(F.when(edge, F.concat(home, F.array(above))).otherwise(home)))
-    dealt = dealt.withColumn("_bucket", F.col("_deal.bucket")).withColumn("_ghost", F.col("_deal.ghost")).drop("_deal", "_outer")
-    order = Window.partitionBy("_bucket").orderBy((F.col("_ghost") == 2).asc(), F.col(id_col).desc_nulls_last(), *(F.col(c) for c in columns))
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    packed = F.struct(*columns)
-    dealt = dealt.withColumn("_next", F.lead(packed).over(order))
-    if high is None:
-        dealt = dealt.withColumn("_next", F.coalesce("_next", F.first(packed).over(whole)))
-    return dealt.where("_ghost = 0").select("*", *(F.col(f"_next.{c}").alias(prefix + c) for c in columns)).drop("_bucket", "_ghost", "_next")
+    array = lambda xs: F.expr(f"array({','.join(f'{x}L' for x in xs)})") if xs else F.array().cast("array<bigint>")
+    below = lambda xs: F.size(F.filter(xs, lambda b: b < F.col(id_col)))
+    outer = docs.withColumn("_outer", below(array(bounds[step - 1 :: step])))
+    major = F.coalesce(F.lit(len(bounds)) - F.col("_outer") * step - below(F.slice(array(bounds), F.col("_outer") * step + 1, step)), F.lit(len(bounds) + 1))
+    parts = spark.createDataFrame([(r[0], -(-r["n"] // per)) for r in hot], "_hot long, _parts long")
+    placed = outer.withColumn("_major", F.when(F.col(id_col).isNull(), len(bounds) + 1).otherwise(major)).withColumn("_h", hashed)
+    placed = placed.join(F.broadcast(parts), F.col(id_col).eqNullSafe(F.col("_hot")), "left") if hot else placed.withColumn("_parts", F.lit(None).cast("long"))
+    minor = F.coalesce(F.least(F.floor(F.col("_h") / F.lit(2.0**63) * F.col("_parts")), F.col("_parts") - 1), F.lit(0))
+    placed = placed.withColumn("_bucket", F.col("_major").cast("long") * F.lit(MAX_BUCKETS) + minor).drop("_outer", "_major", "_hot", "_parts")
+    firsts = placed.groupBy("_bucket").agg(F.min(F.struct((-F.col(id_col)).alias("i"), "_h")).alias("f")).collect()  # a row per bucket
+    firsts = sorted((r["_bucket"], None if r["f"]["i"] is None else -r["f"]["i"], r["f"]["_h"]) for r in firsts)
+    heads = [(b, i, h, firsts[k - 1][0]) for k, (b, i, h) in enumerate(firsts)]
+    head = spark.createDataFrame(heads, "_bucket long, _head_id long, _head_h long, _before long")
+    dealt = placed.join(F.broadcast(head), "_bucket", "left")
+    leads = F.col(id_col).eqNullSafe(F.col("_head_id")) & (F.col("_h") == F.col("_head_h"))
+    home = F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("ghost"))
+    dealt = dealt.withColumn("_deal", F.explode(F.when(leads, F.array(home, F.struct(F.col("_before").alias("bucket"), F.lit(1).alias("ghost")))).otherwise(F.array(home))))
+    dealt = dealt.withColumn("_bucket", F.col("_deal.bucket")).withColumn("_ghost", F.col("_deal.ghost")).drop("_deal", "_head_id", "_head_h", "_before")
+    order = Window.partitionBy("_bucket").orderBy("_ghost", F.col(id_col).desc_nulls_last(), "_h", text_col)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a given number keeps small tables from being worked on in one task
+    found = derive(dealt.repartition(tasks, "_bucket")).withColumn("_next", F.lead(F.struct(*columns)).over(order))
+    return found.where("_ghost = 0").select("*", *(F.col(f"_next.{c}").alias(prefix + c) for c in columns)).drop("_bucket", "_ghost", "_next", "_h")
 
 
 def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text, an edited version of it, their fingerprints and likeness; repeated rows are versions of their own."""
-    own = docs.select(F.col(id_col), text_or_empty(text_col).alias("t"))
-    own = own.withColumn("d", digests(F.col("t"))).withColumn("s", sketch(F.col("d")))
-    own = with_next(own, id_col, ["t", "d", "s"])
+    own = docs.select(F.col(id_col).cast("long").alias(id_col), text_or_empty(text_col).alias("t"))
+    own = with_next(own, id_col, "t", lambda x: x.withColumn("d", digests(F.col("t"))).withColumn("s", sketch(F.col("d"))), ["t", "d", "s"])
     n = F.length("t")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("t", F.lit(1), (n - third).cast("int")), F.substring("next_t", F.lit(1), third))
