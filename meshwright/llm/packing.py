@@ -7,7 +7,8 @@ length.  Ranks come from counts per (block, length) and row numbers within a blo
 that a third of the pieces share is never gathered in one task.
 
 Null and empty texts give one piece of the closing id.  Repeated rows are packed as often as they
-occur.  An empty table gives no rows.
+occur, rows without an id like any others.  Texts of any length are coded whole; extra columns are not
+read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from meshwright.llm._common import arrow_map, chunks, materialize, text_bytes
 
 CAPACITY = 2048
 #: Pieces of a block whose ranks one task numbers.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 400_000
 
@@ -37,8 +38,9 @@ class WordCoder:
     """Ids of whole texts by a tokenizer that never joins text across ASCII white space, word by word with a cache.
 
     For a tokenizer that lower-cases and parts letters from other signs, a word of letters and its
-    trailing punctuation are coded apart.  New words are coded together in one text, parted by a
-    sign that is a single id.
+    trailing punctuation are coded apart, if the tokenizer itself codes the two signs at the cut apart
+    (it does not behind letters that it normalises to end with a mark).  New words are coded together
+    in one text, parted by a sign that is a single id.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,6 +54,13 @@ class WordCoder:
         self.mark = next(m for m in "^~`\\|" if len(ids(m)) == 1)
         self.mark_id = ids(self.mark)[0]
         self.parts = ids("Ab,.") == ids("ab") + ids(",.")
+        self.ids, self.apart = ids, {}
+
+    def _cuts(self, last: str, first: str) -> bool:
+        """Whether the tokenizer cuts between a letter and the sign behind it."""
+        if (last, first) not in self.apart:
+            self.apart[last, first] = self.ids(last + first) == self.ids(last) + self.ids(first)
+        return self.apart[last, first]
 
     def _code(self, words: list[bytes]) -> None:
         """Learn ``words`` as they stand."""
@@ -71,7 +80,8 @@ class WordCoder:
         for w in words:
             low = w.lower() if self.parts else w
             stem = low.rstrip(b",.!?;:|*$%&#") if self.parts else low
-            if 0 < len(stem) < len(low) and (stem.isalpha() or stem.decode("utf-8", "replace").isalpha()):
+            letters = stem.decode("utf-8", "replace") if 0 < len(stem) < len(low) else ""
+            if letters.isalpha() and self._cuts(letters[-1], chr(low[len(stem)])):
                 split.append((w, stem, low[len(stem) :]))
             else:
                 split.append((w, low, None))
@@ -169,15 +179,16 @@ def pack(piece_rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = materialize(piece_rows)
     total = rows.count()
     blocks = max(1, -(-total // BLOCK_ROWS))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("id", "piece"), F.lit(blocks)))
+    # The checkpoint fixes the rows' order, so that their numbers deal them out alike whenever they are read.
+    rows = rows.withColumn("_n", F.monotonically_increasing_id()).withColumn("_block", F.pmod(F.xxhash64("_n"), F.lit(blocks)))
     counted = materialize(rows.groupBy("_block", "length").agg(F.count("*").alias("n")))
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("_block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     histogram = {int(r["length"]): int(r["n"]) for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     slots, _ = plan(histogram, capacity)
-    within = Window.partitionBy("_block", "length").orderBy("id", "piece")
+    within = Window.partitionBy("_block", "length").orderBy("_n")
     ranked = rows.withColumn("_row", F.row_number().over(within)).join(offsets, ["_block", "length"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_row") - 1).drop("_block", "_before", "_row")
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_row") - 1).drop("_block", "_before", "_row", "_n")
 
     by_length: dict[int, tuple] = {}
     table = np.array(slots, np.int64).reshape(-1, 4)
