@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from meshwright.session import ensure_checkpoint_dir, materialize
 
-__all__ = ["arrow_map", "batch_texts", "chunks", "documents", "ensure_checkpoint_dir", "materialize", "table", "text_bytes", "text_or_empty"]
+__all__ = ["arrow_map", "batch_texts", "chunks", "documents", "ensure_checkpoint_dir", "free_name", "materialize", "table", "text_bytes", "text_digest", "text_or_empty"]
 
 #: Rows that a Python function handles at once; keeps a worker's memory bounded by its texts, not by its partition.
 CHUNK_BYTES = 8 << 20
@@ -35,6 +35,18 @@ def text_bytes(col: str = "text") -> Column:
     return text_or_empty(col).cast("binary")
 
 
+def text_digest(col: str = "text") -> tuple[Column, Column]:
+    """Two hashes that tell texts apart."""
+    return F.xxhash64(text_bytes(col)), F.xxhash64(F.lit(1), text_bytes(col))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` starts with it."""
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def batch_texts(batch: pa.RecordBatch, text_col: str) -> pa.RecordBatch:
     """The column ``data``: UTF-8 bytes of a batch's own texts, empty for null, without a second copy sent along."""
     data = batch.column(text_col).cast(pa.string()).cast(pa.binary())

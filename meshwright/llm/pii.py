@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm._common import text_or_empty
+from meshwright.llm._common import free_name, text_or_empty
 
 # The kinds in their order (the first four are the base) and their patterns.  A run
 # that cannot match from its start is not tried again from within, which keeps long texts linear.
@@ -131,13 +131,13 @@ def _scored(text: Column, spans: Column, kind: str) -> Column:
 
 def with_spans(docs: DataFrame, text_col: str = "text", out: str = "_pii") -> DataFrame:
     """``docs`` with ``out``: array of ``(start, kind, end, score)`` sorted by start, then kind."""
-    text = F.translate(text_or_empty(text_col), MARK, OTHER)
-    found = docs.withColumn("_pii_text", text)
+    own = free_name(docs, "_pii_text")
+    of = {kind: free_name(docs, f"_pii_{kind}") for kind in KINDS}
+    found = docs.withColumn(own, F.translate(text_or_empty(text_col), MARK, OTHER))
     for kind in KINDS:
-        found = found.withColumn(f"_pii_{kind}", _spans(F.col("_pii_text"), kind))
-    scored = [_scored(F.col("_pii_text"), F.col(f"_pii_{kind}"), kind) for kind in KINDS]
-    found = found.withColumn(out, F.array_sort(F.concat(*scored)))
-    return found.drop("_pii_text", *(f"_pii_{kind}" for kind in KINDS))
+        found = found.withColumn(of[kind], _spans(F.col(own), kind))
+    scored = [_scored(F.col(own), F.col(of[kind]), kind) for kind in KINDS]
+    return found.withColumn(out, F.array_sort(F.concat(*scored))).drop(own, *of.values())
 
 
 def _joined(spans: Column) -> Column:
@@ -160,7 +160,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one. Null texts stay null."""
-    found = with_spans(docs, text_col)
+    own = free_name(docs, "_pii")
+    found = with_spans(docs, text_col, own)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
@@ -173,5 +174,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def finish(acc: Column) -> Column:
         return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
 
-    cleaned = F.when(F.size("_pii") > 0, F.aggregate("_pii", start, step, finish)).otherwise(text)
-    return found.withColumn(text_col, cleaned).drop("_pii")
+    cleaned = F.when(F.size(own) > 0, F.aggregate(own, start, step, finish)).otherwise(text)
+    return found.withColumn(text_col, cleaned).drop(own)

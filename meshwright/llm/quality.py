@@ -8,7 +8,8 @@ gain get two-dimensional tables in the same way.  A score is a sum of looked-up
 Fitting uses at most ``MAX_TRAIN`` labelled rows, the first by a hash of their id; features and
 scores cover all rows and whole texts.  Null texts count as empty.  Rows without an id are scored and
 never learnt from.  Labels repeated for an id count each; labels that are null or not 0/1 are left
-out.  Without any labels every score is 0.5.
+out.  Without any labels every score is 0.5.  Very long texts are read whole, one at a time; extra
+columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -162,10 +163,14 @@ def held_out(id_col: str) -> Column:
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4) == 2
 
 
-def train(featured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", max_rows: int = MAX_TRAIN) -> AdditiveModel | None:
-    """Fit on the labelled rows of ``featured (id, x)`` that are not held out; None without any."""
+def training_rows(labels: DataFrame, id_col: str = "doc_id", label: str = "quality", max_rows: int = MAX_TRAIN) -> DataFrame:
+    """``(id, y)`` of the labelled rows to learn from: not held out, the first ``max_rows`` by a hash of their id."""
     known = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(label).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
-    sample = known.withColumn("r", F.xxhash64("id")).orderBy("r", "id", "y").limit(max_rows).select("id", "y")
+    return known.withColumn("r", F.xxhash64("id")).orderBy("r", "id", "y").limit(max_rows).select("id", "y")
+
+
+def train(featured: DataFrame, sample: DataFrame) -> AdditiveModel | None:
+    """Fit on the rows of ``featured (id, x)`` in ``sample (id, y)``; None without any."""
     rows = featured.join(F.broadcast(sample), "id").select("y", "x").toPandas()  # both bounded by max_rows
     if not len(rows):
         return None
@@ -177,7 +182,7 @@ def train(featured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label:
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, held_out, score, predicted)`` of every row."""
     featured = materialize(with_features(docs, id_col, text_col))
-    model = train(featured, labels, id_col)
+    model = train(featured, training_rows(labels, id_col))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1).astype(np.float64)
@@ -191,17 +196,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject; all of them where there are no labels to learn from.
 
-    Texts are scored as they stream by, so that no text is shuffled: features of the labelled
-    sample are computed first, then every row is scored and filtered in place.
+    The model is that of ``quality_scores`` on the same rows.  Texts are scored as they stream by, so
+    that no text is shuffled: features of the labelled sample are computed first, then every row is
+    scored and filtered in place.
     """
-    known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).withColumn("r", F.xxhash64("id")).orderBy("r", "id").limit(2 * MAX_TRAIN).select("id").distinct()
-    sample = docs.join(F.broadcast(known), docs[id_col] == known["id"], "left_semi")
-    model = train(with_features(sample, id_col, text_col), labels, id_col)
+    sample = training_rows(labels, id_col)
+    ids = sample.select("id").distinct()
+    named = docs.join(F.broadcast(ids), docs[id_col].cast("long") == ids["id"], "left_semi")
+    model = train(with_features(named, id_col, text_col), sample)
     if model is None:
         return docs
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.array([features(t) for part in chunks(batch_texts(batch, text_col), "data") for t in part.column(0).to_pylist()], np.float64)
+        x = np.array([features(t) for part in chunks(batch_texts(batch, text_col), "data") for t in part.column(0).to_pylist()], np.float32).astype(np.float64)
         return batch.filter(pa.array(model.score(x) >= THRESHOLD))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm._common import arrow_map, chunks, materialize, text_bytes
+from meshwright.llm._common import arrow_map, chunks, free_name, materialize, text_bytes, text_digest
 from meshwright.operators.components import connected_components
 
 #: Members of a bucket that one task compares among themselves.
@@ -200,15 +200,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "w0").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sampled_signatures(docs: DataFrame, id_col: str, text_col: str, ngram: int, tables: int, sample: int, width: int) -> DataFrame:
-    """``(id, t0, t1, bytes, w0.., keys)``: a text's digest and length, the wide fingerprint of its set of shingles and, per table, the SimHash of its ``sample`` least shingles."""
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, t0, t1, data)``: every row's text with its digest."""
+    t0, t1 = text_digest(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), t0.alias("t0"), t1.alias("t1"), text_bytes(text_col).alias("data"))
+
+
+def sampled_signatures(texts: DataFrame, ngram: int, tables: int, sample: int, width: int) -> DataFrame:
+    """``(id, t0, t1, bytes, w0.., keys)`` of ``texts (id, t0, t1, data)``: a text's length, the wide fingerprint of its set of shingles and, per table, the SimHash of its ``sample`` least shingles."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = []
         for part in chunks(batch, "data"):
-            ids, texts = part.column(0), part.column(1).to_pylist()
-            digest = [xxhash.xxh3_128_digest(t) for t in texts]
-            pair = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+            texts = part.column(3).to_pylist()
             words, keys = np.empty((len(texts), width), "<u8"), np.empty((len(texts), tables), "<u8")
             for r, t in enumerate(texts):
                 unique = np.unique(shingle_hashes(t, ngram))
@@ -221,12 +225,12 @@ def sampled_signatures(docs: DataFrame, id_col: str, text_col: str, ngram: int,
                     keys[r, k] = simhash(mix(m, 1)) ^ (k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
             flat = pa.array(keys.view("<i8").reshape(-1))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype="<i4") * tables), flat)
-            cols = [ids, pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(np.ascontiguousarray(words[:, k]).view("<i8")) for k in range(width)), listed]
+            cols = [*(part.column(c) for c in range(3)), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(np.ascontiguousarray(words[:, k]).view("<i8")) for k in range(width)), listed]
             parts.append(pa.RecordBatch.from_arrays(cols, ["id", "t0", "t1", "bytes", *(f"w{k}" for k in range(width)), "keys"]))
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
     schema = "id long, t0 long, t1 long, bytes long, " + ", ".join(f"w{k} long" for k in range(width)) + ", keys array<bigint>"
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("data")), one, schema)
+    return arrow_map(texts.select("id", "t0", "t1", "data"), one, schema)
 
 
 def bits_apart(similarity: float, width: int, deviations: float = 4.0) -> int:
@@ -266,7 +270,7 @@ def exact_forest(sets: list[np.ndarray], nodes: list[int], similarity: float) ->
 
 
 def exact_links(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` of a Jaccard similarity of ``similarity`` or more within each key of ``texts (key, node, t0, t1, data)``."""
+    """Links ``(a, b)`` of a Jaccard similarity of ``similarity`` or more within each key of ``texts (key, node, data)``."""
 
     def settle(members: dict[int, np.ndarray]) -> pa.RecordBatch | None:
         a, b = exact_forest(list(members.values()), list(members), similarity) if len(members) > 1 else ([], [])
@@ -275,24 +279,22 @@ def exact_links(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, {}
         for batch in batches:
-            keys, nodes, t0, t1 = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            for r, text in enumerate(batch.column(4)):
+            keys, nodes = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for r, text in enumerate(batch.column(2)):
                 if keys[r] != key:
                     if (out := settle(members)) is not None:
                         yield out
                     key, members = keys[r], {}
-                text = text.as_py()
-                # an id may stand for several texts: only the node's own counts
-                if int(nodes[r]) not in members and xxhash.xxh3_128_digest(text) == np.array([t0[r], t1[r]], "<i8").tobytes():
-                    members[int(nodes[r])] = np.unique(shingle_hashes(text, ngram))
+                if int(nodes[r]) not in members:  # repeated rows
+                    members[int(nodes[r])] = np.unique(shingle_hashes(text.as_py(), ngram))
         if (out := settle(members)) is not None:
             yield out
 
-    return texts.select("key", "node", "t0", "t1", "data").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+    return texts.select("key", "node", "data").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, tables: int = 10, sample: int = 4, width: int = 4) -> DataFrame:
-    """``(id, component_id)`` of rows with an id: texts of Jaccard similarity ``similarity`` or more are linked.
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, tables: int = 10, sample: int = 4, width: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Rows with an id as ``(id, t0, t1)``, and their texts as ``(t0, t1, id, root)``, id the least one: texts of Jaccard similarity ``similarity`` or more are linked and share a root.
 
     At a similarity of 0.8 whole-text fingerprints differ by some ten bits of 64, beyond the reach of
     wildcard segments.  The index here holds SimHashes of samples (per table the few least shingles),
@@ -301,8 +303,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sufficient Jaccard similarity of their whole shingle sets are linked.  Equal texts are one class
     before that, named by half of their digest.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    signed = materialize(sampled_signatures(named, id_col, text_col, ngram, tables, sample, width))
+    texts = keyed_texts(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    signed = materialize(sampled_signatures(texts, ngram, tables, sample, width))
     words = [f"w{k}" for k in range(width)]
     classes = signed.groupBy("t0", "t1").agg(F.min("id").alias("id"), F.first("bytes").alias("bytes"), *(F.first(w).alias(w) for w in [*words, "keys"]))
     classes = materialize(classes.withColumn("node", F.col("t0")))
@@ -312,20 +314,30 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     blocks = placed.groupBy("group").agg(F.ceil((F.sum("bytes") + 1) / F.lit(GROUP_BYTES)).alias("blocks"))
     dealt = placed.join(blocks, "group").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("id", "t0", "t1", "node", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
-    texts = named.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("data")).join(dealt, "id")
-    component = connected_components(exact_links(texts, ngram, similarity))
-    rooted = classes.join(component, "node", "left").select("t0", "t1", "id", F.coalesce("component", "node").alias("root"))
+    # An id may stand for several texts: only the class's own counts.
+    component = connected_components(exact_links(texts.join(dealt, ["id", "t0", "t1"]), ngram, similarity))
+    return signed.select("id", "t0", "t1"), classes.join(component, "node", "left").select("t0", "t1", "id", F.coalesce("component", "node").alias("root"))
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``(id, component_id)`` of rows with an id: those whose texts are linked, directly or by others, share the least id among them (see ``text_classes``)."""
+    rows, rooted = text_classes(docs, id_col, text_col, **options)
     leaders = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     found = rooted.join(leaders, "root").select("t0", "t1", "component_id")
-    return signed.select("id", "t0", "t1").join(found, ["t0", "t1"]).select(F.col("id").alias(id_col), "component_id")
+    return rows.join(found, ["t0", "t1"]).select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id leads its near-duplicate group; rows without an id all stay.
+    """One row of ``docs`` of each near-duplicate group; rows without an id all stay.
 
-    Rows that repeat an id count as copies of one another, and one of them stays.
+    The row of the least id stays; of several texts under that id the one of the least digest, and of
+    rows that repeat both the one of the least hash over all columns.  Texts that share an id and
+    nothing else are documents of their own.  An empty table stays empty.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col, **options)
-    leaders = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(leaders, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    _, rooted = text_classes(docs, id_col, text_col, **options)
+    names = [free_name(docs, f"_{x}") for x in ("id", "t0", "t1")]
+    best = rooted.groupBy("root").agg(F.min(F.struct("id", "t0", "t1")).alias("best"))
+    leaders = best.select(*(F.col(f"best.{x}").alias(n) for x, n in zip(("id", "t0", "t1"), names, strict=True)))
+    own = docs.withColumns(dict(zip(names, (F.col(id_col).cast("long"), *text_digest(text_col)), strict=True)))
+    kept = own.join(leaders, names, "left_semi").groupBy(*names).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+    return kept.select("_row.*").unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
