@@ -7,7 +7,8 @@ gain get two-dimensional tables in the same way.  A score is a sum of looked-up
 
 Fitting uses at most ``MAX_TRAIN`` labelled rows, the first by a hash of their id; features and
 scores cover all rows and whole texts.  Null texts count as empty.  Rows without an id are scored and
-never learnt from.  Labels repeated for an id count each; labels that are null or not 0/1 are left
+never learnt from; of rows that repeat an
+id the one of the least features is.  Labels repeated for an id count each; labels that are null or not 0/1 are left
 out.  Without any labels every score is 0.5.  Very long texts are read whole, one at a time; extra
 columns are not read; an empty table gives no rows.
 """
@@ -171,7 +172,8 @@ def training_rows(labels: DataFrame, id_col: str = "doc_id", label: str = "quali
 
 def train(featured: DataFrame, sample: DataFrame) -> AdditiveModel | None:
     """Fit on the rows of ``featured (id, x)`` in ``sample (id, y)``; None without any."""
-    rows = featured.join(F.broadcast(sample), "id").select("y", "x").toPandas()  # both bounded by max_rows
+    known = featured.join(F.broadcast(sample.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min("x").alias("x"))
+    rows = known.join(F.broadcast(sample), "id").select("y", "x").toPandas()  # max_rows at most
     if not len(rows):
         return None
     x, y = np.stack(rows["x"].to_numpy()).astype(np.float64), rows["y"].to_numpy(np.float64)

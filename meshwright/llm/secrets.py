@@ -6,7 +6,8 @@ alphabet is mapped to one letter first, and the run of 24 such letters is the ke
 an embedded CRC-32 (``ghp_...``, ``npm_...``) count only if it is right.
 
 Null texts count as empty and give no spans; offsets are code points, end exclusive.  Repeated rows
-are scanned each for itself.  An empty table gives no rows.
+are scanned each for itself, texts of any length whole.  Extra columns are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ holds an unbounded bucket and no link is lost.
 
 Null texts count as empty; a text without words has fingerprint 0.  Repeated rows and equal
 fingerprints fall into one class before indexing.  Rows without an id take part in nothing and get
-a null component unless another row of their class has an id.  An empty table gives an empty result.
+a null component unless another row of their class has an id.  Very long texts are hashed a stretch of
+shingles at a time; extra columns are not read (the pipeline's stage keeps them).  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ looks ahead) until the new boundaries meet old ones, encodes only pre-tokens bet
 paths above.
 
 Null texts count as empty: no tokens.  Edits beyond the end of a text are put at its end.  Rows that
-repeat an id are counted each for itself.
+repeat an id, or have none, are counted each for itself.  Texts are read whole, whatever their length;
+extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,11 +5,12 @@ Words (letters and digits, A-Z lower-cased) and their stems are the features, on
 they use that the labels show to be toxic.  One weight per word is shared by all
 thresholds: P(grade > k) = sigmoid(w.x - t_k).  The output is the expected grade.
 
-Fitting uses at most ``MAX_TRAIN`` labelled rows (the first by a hash of their id), of which the distinct
-words of the whole texts go to the driver, and a vocabulary of at most ``VOCABULARY`` words; scoring reads
-every row's whole text.  Null texts count as empty; a text
-without known words gets the model's base severity.  Rows without an id are scored, not learnt from.
-Without toxic and clean labels every severity is 0.
+Fitting uses at most ``MAX_TRAIN`` labelled rows and ``MAX_BYTES`` bytes (the first by a hash of their id), of
+which the distinct words of the whole texts go to the driver, and a vocabulary of at most ``VOCABULARY``
+words; scoring reads every row's whole text, however long.  Null texts count as empty; a text without
+known words gets the model's base severity.  Rows without an id are scored, not learnt from; of rows that
+repeat an id the one of the least words is learnt from.  Without toxic and clean labels every severity is
+0.  Extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meshwright.llm._common import arrow_map, text_bytes
 
-MAX_TRAIN, VOCABULARY, LEAST_ROWS = 8_000, 2_000, 5
+MAX_TRAIN, MAX_BYTES, VOCABULARY, LEAST_ROWS = 8_000, 64 << 20, 2_000, 5
 #: Lengths of stems in bytes.
 STEMS = (4, 6)
 GRADES = 4
@@ -112,7 +114,7 @@ def fit(rows: list[list[bytes]], toxic: np.ndarray) -> OrdinalModel:
     return OrdinalModel({c: float(x) for c, x in zip(chosen, w, strict=True) if x}, t.tolist())
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_rows: int = MAX_TRAIN) -> OrdinalModel | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_rows: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> OrdinalModel | None:
     """Fit on a bounded sample of the labelled rows; None unless both labels occur."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
     sample = known.withColumn("r", F.xxhash64("id")).orderBy("r", "id", "y").limit(max_rows).select("id", "y")
@@ -122,11 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         words = [b" ".join(sorted(set(words_of(t)))) for t in batch.column(1).to_pylist()]  # each once: features only tell whether a word is there
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), batch.column(2)], ["id", "words", "y"])
 
-    rows: list[tuple[int, bytes, int]] = []
     read = arrow_map(source.select("id", "data", "y"), one, "id long, words binary, y int")
-    for r in read.toLocalIterator():
-        rows.append((r["id"], bytes(r["words"]), r["y"]))
-    rows.sort()
+    read = read.groupBy("id", "y").agg(F.min("words").alias("words"))  # rows that repeat an id: max_rows in all
+    held = F.sum(F.octet_length("words")).over(Window.orderBy(F.xxhash64("id"), "id", "y").rowsBetween(Window.unboundedPreceding, 0))
+    rows = sorted((r["id"], bytes(r["words"]), r["y"]) for r in read.where(F.octet_length("words") <= max_bytes).withColumn("held", held).where(F.col("held") <= max_bytes).collect())
     toxic = np.array([y for *_, y in rows], np.int64)
     if not len(rows) or toxic.min() == toxic.max():
         return None
