@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 from meshwright.llm._common import text_or_empty
 
 ROWS, WIDTH = 3, 8
-#: Cells in a row of a block, digests of a difference that a block is dealt, and rounds of peeling.
-BLOCK_WIDTH, LOAD, ROUNDS = 4, 6, 12
+#: Cells in a row of a block, digests of a difference that a block is dealt, and rounds of peeling at most of the first sketch and of a block.
+BLOCK_WIDTH, LOAD, ROUNDS, BLOCK_ROUNDS = 2, 6, 12, 5
 #: Code points of a paragraph before it is cut at sentence ends and words, and of a piece before it is cut after bytes.
 LONG, UNCUT = 30, 120
 #: Behind one byte value of 16, spread over all of them.
@@ -51,7 +51,7 @@ def paragraphs(text: Column) -> Column:
     edit that shortens a text does not cut it otherwise.
     """
     after_bytes = lambda w: F.when(F.length(w) <= UNCUT, F.array(w)).otherwise(F.split(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), CUT_BYTES))
-    after_words = lambda q: F.when(F.length(q) <= LONG, F.array(q)).otherwise(F.flatten(F.transform(F.split(q, r"(?<=[\w,|!*$%&#]{2}[aeg,|!*$%&#])\s+"), after_bytes)))
+    after_words = lambda q: F.when(F.length(q) <= LONG, F.array(q)).otherwise(F.flatten(F.transform(F.split(q, r"(?<=[\w,|!*$%&#]{2}[ag,|!*$%&#])\s+"), after_bytes)))
     lines = F.split(text, r"\n+")
     cut = F.transform(lines, lambda p: F.when(F.length(p) <= LONG, F.array(p)).otherwise(F.flatten(F.transform(F.split(p, r"(?<=[.!?])\s+"), after_words))))
     return F.filter(F.flatten(cut), lambda p: p != "")
@@ -91,7 +91,7 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda p, q: F.struct((p["n"] - q["n"]).alias("n"), p["x"].bitwiseXOR(q["x"]).alias("x"), p["c"].bitwiseXOR(q["c"]).alias("c")))
 
 
-def peel(cells: Column, width: int = WIDTH, shift: int = 0) -> Column:
+def peel(cells: Column, width: int = WIDTH, shift: int = 0, rounds: int = ROUNDS) -> Column:
     """``(ok, left, right)``: digests that only the first or only the second version has, recovered from subtracted cells."""
     none = F.array().cast("array<struct<x:bigint,n:int>>")
     start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(False).alias("still"))
@@ -114,7 +114,7 @@ def peel(cells: Column, width: int = WIDTH, shift: int = 0) -> Column:
             F.transform(F.filter(acc["found"], lambda p: p["n"] == -1), lambda p: p["x"]).alias("right"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round, finish)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, one_round, finish)
 
 
 def _exact(a: Column, b: Column) -> Column:
@@ -146,7 +146,7 @@ def _or_else(first: Column, then: Column) -> Column:
 
 
 def _compared(a: Column, b: Column, shift: int) -> Column:
-    return peel(subtract(sketch(a, BLOCK_WIDTH, shift), sketch(b, BLOCK_WIDTH, shift)), BLOCK_WIDTH, shift)
+    return peel(subtract(sketch(a, BLOCK_WIDTH, shift), sketch(b, BLOCK_WIDTH, shift)), BLOCK_WIDTH, shift, BLOCK_ROUNDS)
 
 
 def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
@@ -175,8 +175,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, derive: Callable[[Dat
     Rows that share an id follow one another by a hash of their text, then by their text; rows without
     an id come last.  The order is cut into buckets of some BUCKET_ROWS rows, at most MAX_BUCKETS, at
     quantiles of the id; an id of more rows than two buckets is cut by the hash.  Of the next bucket's
-    rows those of its first key are dealt to a bucket as well.  ``derive`` works on the rows where they
-    were dealt, so that what it adds is not shuffled.
+    rows those of its first key are dealt to a bucket as well.  ``derive`` works on the rows before they
+    are shuffled: behind the shuffle its columns would be inlined into the window's and made anew.
     """
     spark = docs.sparkSession
     hashed = F.shiftrightunsigned(F.xxhash64(text_col), 1)
@@ -206,7 +206,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, derive: Callable[[Dat
     dealt = dealt.withColumn("_bucket", F.col("_deal.bucket")).withColumn("_ghost", F.col("_deal.ghost")).drop("_deal", "_head_id", "_head_h", "_before")
     order = Window.partitionBy("_bucket").orderBy("_ghost", F.col(id_col).desc_nulls_last(), "_h", text_col)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a given number keeps small tables from being worked on in one task
-    found = derive(dealt.repartition(tasks, "_bucket")).withColumn("_next", F.lead(F.struct(*columns)).over(order))
+    found = derive(dealt).repartition(tasks, "_bucket").withColumn("_next", F.lead(F.struct(*columns)).over(order))
     return found.where("_ghost = 0").select("*", *(F.col(f"_next.{c}").alias(prefix + c) for c in columns)).drop("_bucket", "_ghost", "_next", "_h")
 
 
