@@ -412,9 +412,42 @@ def dedup_sequences(spark, sf_dir):
     return sequences.dedup(read(spark, sf_dir, "documents").select(F.col("source").alias("header"), F.col("text").alias("seq")))
 
 
-@query("WITH d AS (SELECT DISTINCT source, text FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY text) - 1 AS k FROM d) SELECT source AS original, CASE WHEN k = 0 THEN source ELSE source || '_' || k END AS header, text AS seq FROM n")
+@query("WITH d AS (SELECT source, text, min(doc_id) AS pos FROM documents GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS k, count(*) OVER (PARTITION BY source) AS c FROM d) SELECT source AS original, CASE WHEN c = 1 THEN source ELSE source || '_' || k END AS header, text AS seq, pos FROM n")
 def unique_headers(spark, sf_dir):
-    return sequences.unique_headers(read(spark, sf_dir, "documents").select(F.col("source").alias("header"), F.col("text").alias("seq")))
+    records = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("header"), F.col("text").alias("seq")).agg(F.min("doc_id").alias("pos"))
+    return sequences.unique_headers(records)
+
+
+@query("""WITH c AS (SELECT p_partkey AS pos, p_brand || ' ' || (p_size % 3) || '?' AS raw, regexp_replace(regexp_extract(upper(p_name), '[ACDEFGHIKLMNPQRSTVWYBZJXUO](?:.*[ACDEFGHIKLMNPQRSTVWYBZJXUO])?', 0), '[^ACDEFGHIKLMNPQRSTVWYBZJXUO]', 'X', 'g') AS seq FROM part),
+h AS (SELECT pos, regexp_replace(regexp_replace(regexp_replace(raw, '[?#]', '_', 'g'), '\\s+', '_', 'g'), '_+', '_', 'g') AS header, seq FROM c WHERE seq <> ''),
+b AS (SELECT seq, (list(header ORDER BY length(header) DESC, header))[1] AS header, min(pos) AS pos, count(*) AS merged FROM h GROUP BY seq),
+n AS (SELECT *, count(*) OVER (PARTITION BY header) AS c, row_number() OVER (PARTITION BY header ORDER BY pos) AS k FROM b)
+SELECT header AS original, CASE WHEN c = 1 THEN header ELSE header || k END AS header, seq, pos, merged FROM n""")
+def sanitized_records(spark, sf_dir):
+    raw = F.concat_ws("", "p_brand", F.lit(" "), (F.col("p_size") % 3).cast("string"), F.lit("?"))
+    return sequences.sanitize_records(read(spark, sf_dir, "part").select(raw.alias("header"), F.col("p_name").alias("seq"), F.col("p_partkey").alias("pos")))
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS node, replace(c_name, '#', '_') AS header, c_name AS raw, NULL::VARCHAR AS first_word, length(c_mktsegment)::INT AS length FROM customer")
+def header_manifest(spark, sf_dir):
+    return sequences.header_manifest(read(spark, sf_dir, "customer").select(F.col("c_name").alias("header"), F.col("c_mktsegment").alias("seq"), F.col("c_custkey").alias("pos")))
+
+
+@query("WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part WHERE p_size > 45) SELECT p_partkey FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_size > 45) OR split_part(p_name, ' ', 1) IN (SELECT word FROM w)")
+def keep_named_nodes(spark, sf_dir):
+    p = read(spark, sf_dir, "part").withColumnRenamed("p_name", "header")
+    return sequences.keep_named(p, p.where("p_size > 45")).select("p_partkey")
+
+
+@query("SELECT p_partkey, list_transform(string_split(upper(p_name), ''), lambda c: instr('ACDEFGHIKLMNPQRSTVWY', c) - 1)::VARCHAR AS codes FROM part")
+def residue_codes(spark, sf_dir):
+    codes = F.concat(F.lit("["), F.array_join(F.transform(sequences.residue_codes(F.col("p_name")), lambda c: c.cast("string")), ", "), F.lit("]"))
+    return read(spark, sf_dir, "part").select("p_partkey", codes.alias("codes"))
+
+
+@query("WITH l AS (SELECT length(p_name) AS n FROM part), m AS (SELECT min(n) lo, max(n) hi, least(50, max(n) - min(n) + 1) k FROM l), b AS (SELECT least(floor((n - lo) / ((hi - lo) / k)), k - 1)::INT AS bin, count(*) AS c FROM l, m GROUP BY 1) SELECT s.bin::INT AS bin, round(lo + s.bin * (hi - lo) / k, 6) AS low, round(lo + (s.bin + 1) * (hi - lo) / k, 6) AS high, coalesce(c, 0)::BIGINT AS n FROM (SELECT unnest(range((SELECT k FROM m)::INT)) AS bin) s CROSS JOIN m LEFT JOIN b ON b.bin = s.bin")
+def length_histogram(spark, sf_dir):
+    return sequences.length_histogram(read(spark, sf_dir, "part"), "p_name").select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.col("n").cast("long").alias("n"))
 
 
 @query("SELECT count(text) AS n, min(length(text)) AS least, round(quantile_cont(length(text), 0.5), 6) AS median, round(avg(length(text)), 6) AS mean, round(stddev_pop(length(text)), 6) AS sd, max(length(text)) AS greatest FROM documents")
@@ -423,19 +456,34 @@ def length_stats(spark, sf_dir):
     return out.select("n", F.col("least").cast("long").alias("least"), F.round("median", 6).alias("median"), F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.col("greatest").cast("long").alias("greatest"))
 
 
-_KDA = " + ".join(f"(length(s) - length(replace(s, '{a}', ''))) * {m}" for a, m in sequences.MASS.items())
-_HYD = {**sequences.HYDROPATHY, "B": -3.5, "Z": -3.5, "J": 4.15}
-_GRAVY = " + ".join(f"(length(s) - length(replace(s, '{a}', ''))) * ({h})" for a, h in _HYD.items())
-_GN = " + ".join(f"(length(s) - length(replace(s, '{a}', '')))" for a in _HYD)
+# Fixed values, written out for the SQL alone: free masses, hydropathy, and letters of p_name as residues.
+RESIDUES = """f(aa, mass) AS (VALUES ('A',89.0932),('C',121.1582),('D',133.1027),('E',147.1293),('F',165.1891),('G',75.0666),('H',155.1546),('I',131.1729),('K',146.1876),('L',131.1729),('M',149.2113),('N',132.1179),('O',255.3134),('P',115.1305),('Q',146.1445),('R',174.2010),('S',105.0926),('T',119.1192),('U',168.0532),('V',117.1463),('W',204.2252),('Y',181.1885)),
+g(aa, kd) AS (VALUES ('A',1.8),('C',2.5),('D',-3.5),('E',-3.5),('F',2.8),('G',-0.4),('H',-3.2),('I',4.5),('K',-3.9),('L',3.8),('M',1.9),('N',-3.5),('P',-1.6),('Q',-3.5),('R',-4.5),('S',-0.8),('T',-0.7),('V',4.2),('W',-0.9),('Y',-1.3),('B',-3.5),('Z',-3.5),('J',4.15)),
+w AS (SELECT aa, mass::DOUBLE - 18.0153 AS m FROM f UNION ALL SELECT code, avg(mass::DOUBLE - 18.0153) FROM (VALUES ('B','DN'),('Z','EQ'),('J','LI'),('X','ACDEFGHIKLMNPQRSTVWY')) a(code, stands) JOIN f ON contains(stands, aa) GROUP BY code),
+s AS (SELECT p_partkey, replace(upper(p_name), ' ', '') AS s FROM part),
+r AS (SELECT p_partkey, aa, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(s, '')) AS aa FROM s) GROUP BY 1, 2)"""
 
 
-@query(f"SELECT p_partkey, length(s)::INT AS length, round(({_KDA} + {sequences.WATER}) / 1000, 6) AS kda, round(({_GRAVY})::DOUBLE / nullif({_GN}, 0), 6) AS gravy FROM (SELECT p_partkey, replace(upper(p_name), ' ', '') AS s FROM part)")
+@query(f"WITH {RESIDUES} SELECT s.p_partkey, any_value(length(s))::INT AS length, round((sum(n * coalesce(m, 0)) + 18.0153) / 1000, 9) AS kda, round(sum(n * kd::DOUBLE) / nullif(sum(n) FILTER (kd IS NOT NULL), 0), 6) AS gravy FROM s JOIN r ON r.p_partkey = s.p_partkey LEFT JOIN w ON w.aa = r.aa LEFT JOIN g ON g.aa = r.aa GROUP BY s.p_partkey")
 def derived_columns(spark, sf_dir):
     s = F.replace(F.upper("p_name"), F.lit(" "), F.lit(""))
-    return read(spark, sf_dir, "part").select("p_partkey", F.length(s).alias("length"), F.round(sequences.kilodaltons(s), 6).alias("kda"), F.round(sequences.gravy(s), 6).alias("gravy"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.length(s).alias("length"), F.round(sequences.kilodaltons(s), 9).alias("kda"), F.round(sequences.gravy(s), 6).alias("gravy"))
 
 
-@query()
+_N = "coalesce(sum(n) FILTER (aa = '{}'), 0)::DOUBLE"
+_UP = "1 / (1 + pow(10, mid - {}))"
+_DOWN = "1 / (1 + pow(10, {} - mid))"
+CHARGE = f"({_UP.format('nt')} + k * {_UP.format('10.0')} + r * {_UP.format('12.0')} + h * {_UP.format('5.98')} - {_DOWN.format('ct')} - (d + b / 2) * {_DOWN.format('4.05')} - (e + z / 2) * {_DOWN.format('4.45')} - c * {_DOWN.format('9.0')} - y * {_DOWN.format('10.0')})"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT p_partkey, replace(upper(p_name), ' ', '') AS s FROM part),
+r AS (SELECT p_partkey, s, aa, count(*) AS n FROM (SELECT p_partkey, s, unnest(string_split(s, '')) AS aa FROM s) GROUP BY ALL),
+q AS (SELECT p_partkey, {", ".join(_N.format(a.upper()) + f" AS {a}" for a in "krhdecybz")},
+ CASE left(s, 1) WHEN 'A' THEN 7.59 WHEN 'M' THEN 7.0 WHEN 'S' THEN 6.93 WHEN 'P' THEN 8.36 WHEN 'T' THEN 6.82 WHEN 'V' THEN 7.44 WHEN 'E' THEN 7.7 ELSE 7.5 END::DOUBLE AS nt,
+ CASE right(s, 1) WHEN 'D' THEN 4.55 WHEN 'E' THEN 4.75 ELSE 3.55 END::DOUBLE AS ct FROM r GROUP BY p_partkey, s),
+t AS (SELECT *, 0 AS step, 4.05::DOUBLE AS lo, 12.0::DOUBLE AS hi, (4.05 + 12.0)::DOUBLE / 2 AS mid FROM q
+ UNION ALL SELECT * EXCLUDE (step, lo, hi, mid, up), step + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, (CASE WHEN up THEN mid ELSE lo END + CASE WHEN up THEN hi ELSE mid END) / 2 FROM (SELECT *, {CHARGE} > 0 AS up FROM t WHERE step < 17))
+SELECT p_partkey, round(mid, 4) AS pi FROM t WHERE step = 17""")
 def isoelectric_points(spark, sf_dir):
     s = F.replace(F.upper("p_name"), F.lit(" "), F.lit(""))
     return read(spark, sf_dir, "part").select("p_partkey", F.round(sequences.isoelectric_point(s), 4).alias("pi"))
