@@ -29,8 +29,9 @@ from meshwright.operators.components import connected_components
 
 #: Members of a bucket that one task compares among themselves.
 BLOCK = 16_384
-#: Text of a group that one task compares exactly among itself; larger groups are dealt out as pairs of blocks.
-GROUP_BYTES = 16 << 20
+#: Text of a group that one task compares exactly among itself at most; larger groups are dealt out as pairs of blocks.
+#: Groups beyond PART_BYTES are dealt to a few blocks (PARTS) before that, so that one group is not one task's work.
+GROUP_BYTES, PART_BYTES, PARTS = 16 << 20, 1 << 18, 16
 #: Shingles whose bits are unpacked at once.
 _STEP = 1 << 15
 
@@ -313,7 +314,8 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = classes.select(F.explode("keys").alias("key"), "node", *words)
     loose = connected_components(bucket_links(index, width, bits_apart(similarity, width)))
     placed = materialize(classes.join(loose, "node").select("id", "t0", "t1", "bytes", "node", F.col("component").alias("group")))
-    blocks = placed.groupBy("group").agg(F.ceil((F.sum("bytes") + 1) / F.lit(GROUP_BYTES)).alias("blocks"))
+    parts = lambda limit: F.ceil((F.sum("bytes") + 1) / F.lit(limit))
+    blocks = placed.groupBy("group").agg(F.greatest(parts(GROUP_BYTES), F.least(F.lit(PARTS), parts(PART_BYTES))).alias("blocks"))
     dealt = placed.join(blocks, "group").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("id", "t0", "t1", "node", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
     # An id may stand for several texts: only the class's own counts.
