@@ -51,7 +51,7 @@ def paragraphs(text: Column) -> Column:
     edit that shortens a text does not cut it otherwise.
     """
     after_bytes = lambda w: F.when(F.length(w) <= UNCUT, F.array(w)).otherwise(F.split(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), CUT_BYTES))
-    after_words = lambda q: F.when(F.length(q) <= LONG, F.array(q)).otherwise(F.flatten(F.transform(F.split(q, r"(?<=[\w,|!*$%&#]{2}[ag,|!*$%&#])\s+"), after_bytes)))
+    after_words = lambda q: F.when(F.length(q) <= LONG, F.array(q)).otherwise(F.flatten(F.transform(F.split(q, r"(?<=[\w,|!*$%&#]{2}[g,|!*$%&#])\s+"), after_bytes)))
     lines = F.split(text, r"\n+")
     cut = F.transform(lines, lambda p: F.when(F.length(p) <= LONG, F.array(p)).otherwise(F.flatten(F.transform(F.split(p, r"(?<=[.!?])\s+"), after_words))))
     return F.filter(F.flatten(cut), lambda p: p != "")
