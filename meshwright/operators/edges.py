@@ -6,39 +6,57 @@ operators; ties are settled by explicit columns, never by the order in which row
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors that a task multiplies with as many others.
-PAIR_BLOCK = 1024
+from meshwright.operators.profiles import pair_blocks
+
+#: Bins of a pass that narrows the values of a rank down, and values that are looked at singly.
+RANK_BINS, RANK_VALUES = 1024, 10_000
+#: Pairs of a batch of scores.
+PAIR_ROWS = 1 << 18
 
 
-def all_pairs(vectors: DataFrame, id_col: str, vector_col: str, extra: str | None = None) -> DataFrame:
+def all_pairs(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Cosine ``score`` of every pair i < j, in blocks: rows are dealt to pairs of blocks, never to one task.
 
     A zero vector has the norm 1e-8.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // PAIR_BLOCK))
-    mine = F.pmod(F.xxhash64(id_col), F.lit(blocks))
-    dealt = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), mine.alias("mine"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    dealt = dealt.withColumn("a", F.least("mine", "other")).withColumn("b", F.greatest("mine", "other"))
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
-        x, y = pdf[pdf["mine"] == a], pdf[pdf["mine"] == b]
-        unit = lambda p: (m := np.stack(p["v"].to_numpy())) / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-8)
-        s = unit(x) @ unit(y).T
-        i, j = x["id"].to_numpy(), y["id"].to_numpy()
-        r, c = np.nonzero(i[:, None] < j[None, :]) if a == b else np.nonzero(i[:, None] != j[None, :])
-        lo, hi = np.minimum(i[r], j[c]), np.maximum(i[r], j[c])
-        return pd.DataFrame({"i": lo, "j": hi, "score": s[r, c]})
-
-    return dealt.groupBy("a", "b").applyInPandas(multiply, "i long, j long, score double")
+    unit = lambda v: (m := np.array(v, float)) / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-8)
+
+    def use(i: np.ndarray, x: list, j: np.ndarray, y: list, same: bool) -> Iterator[pa.RecordBatch]:
+        y, step = unit(y), max(1, PAIR_ROWS // len(j))
+        x = y if same else unit(x)
+        for s in range(0, len(i), step):
+            own = i[s : s + step]
+            score = x[s : s + step] @ y.T
+            r, c = np.nonzero(own[:, None] < j[None, :] if same else own[:, None] != j[None, :])
+            a, b = own[r], j[c]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score[r, c])], ["i", "j", "score"])
+
+    return pair_blocks(vectors.withColumn(vector_col, F.col(vector_col).cast("array<double>")), id_col, vector_col, use, "i long, j long, score double")
+
+
+def length_adjusted_pairs(vectors: DataFrame, id_col: str, vector_col: str, lengths: DataFrame, power: float) -> DataFrame:
+    """Cosine of pooled vectors, within -1 and 1, times (shorter / longer length) to a power; ``lengths (id, length)``."""
+    own = lambda end, out: lengths.select(F.col(id_col).alias(end), F.greatest(F.col("length"), F.lit(0)).alias(out))
+    both = all_pairs(vectors, id_col, vector_col).join(own("i", "a"), "i").join(own("j", "b"), "j")
+    ratio = F.pow(F.least("a", "b") / F.greatest("a", "b", F.lit(1)), F.lit(float(power)))
+    return both.select("i", "j", (F.greatest(F.least("score", F.lit(1.0)), F.lit(-1.0)) * ratio).alias("score"))
+
+
+def pooled(store: DataFrame, id_col: str, residues: str, pooling: str = "mean") -> DataFrame:
+    """``(id, v)``: the greatest or the mean value of each feature over a record's residues (``array<array<double>>``)."""
+    if pooling not in ("max", "mean"):
+        raise ValueError(f"unknown pooling {pooling!r}; known: max, mean")
+    cells = store.select(F.col(id_col).alias("id"), F.explode(residues).alias("r")).select("id", F.posexplode("r").alias("k", "x"))
+    each = cells.groupBy("id", "k").agg((F.max("x") if pooling == "max" else F.avg("x")).alias("x"))
+    return each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
 
 
 def reduce_max(edges: DataFrame, i: str = "i", j: str = "j", score: str = "score") -> DataFrame:
@@ -102,20 +120,57 @@ def nearest_partners(edges: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}").select("node", "rank", "other", "score")
 
 
+def ranked_values(rows: DataFrame, column: str, ranks: list[int]) -> list[float]:
+    """The values at ``ranks`` (0 the least) of a column without nulls or NaN, exactly and in bounded memory.
+
+    Each pass counts the values of every rank's range in bins and goes on with the bin that holds the
+    rank, until it holds one value or few enough to look at singly.  ``rows`` is read in each pass.
+    """
+    out: dict[int, float] = {}
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    todo = {r: (float(low), float(high), r) for r in set(ranks)}  # rank -> range, and place within it
+    x = F.col(column).cast("double")
+    while todo := {r: v for r, v in todo.items() if r not in out}:
+        for r, (lo, hi, _) in todo.items():
+            if lo == hi:
+                out[r] = lo
+        spans = sorted({(lo, hi) for lo, hi, _ in todo.values() if lo < hi})
+        if not spans:
+            continue
+        kinds = F.array(*(F.when(x.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(k).alias("k"), F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / RANK_BINS)), F.lit(RANK_BINS - 1)).alias("bin"))) for k, (lo, hi) in enumerate(spans)))
+        binned = rows.select(x.alias("x"), F.explode(F.array_compact(kinds)).alias("s"))
+        found: dict[int, list] = {}
+        for row in binned.groupBy("s.k", "s.bin").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():  # bins of each range
+            found.setdefault(row["k"], []).append((row["lo"], row["hi"], row["n"]))
+        few = []
+        for r, (lo, hi, place) in list(todo.items()):
+            if r in out:
+                continue
+            for a, b, n in sorted(found[spans.index((lo, hi))]):
+                if place < n:
+                    todo[r] = (a, b, place)
+                    few += [r] if a < b and n <= RANK_VALUES // len(ranks) else []
+                    break
+                place -= n
+        if few:
+            wanted = sorted({todo[r][:2] for r in few})
+            inside = F.lit(False)
+            for a, b in wanted:
+                inside = inside | x.between(F.lit(a), F.lit(b))
+            values = np.array(sorted(row[0] for row in rows.where(inside).select(x).collect()))
+            for r in few:
+                a, b, place = todo[r]
+                out[r] = float(values[np.searchsorted(values, a) + place])
+    return [out[r] for r in ranks]
+
+
 def percent_cutoff(edges: DataFrame, nodes: int, percent: float) -> float:
     """Score of the e-th best edge, e = percent of the possible pairs (1 .. stored); NaN counts as greatest, 0 without edges."""
-    stored = edges.count()
+    stored, missing = edges.agg(F.count("*"), F.count_if(F.isnan("score"))).first()
     if not stored:
         return 0.0
     e = min(max(int(nodes * (nodes - 1) // 2 * percent / 100), 1), stored)
-    at = (stored - e) / max(stored - 1, 1)
-    counted = edges.groupBy("score").agg(F.count("*").alias("n"))
-    if counted.count() <= 1_000_000:  # distinct scores: one small sorted pass
-        w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        return counted.withColumn("c", F.sum("n").over(w)).where(F.col("c") >= e).agg(F.max("score")).first()[0]
-    lower = edges.agg(F.percentile_approx("score", at, 100_000)).first()[0]
-    above = edges.where(F.col("score") > lower).count()
-    return edges.where(F.col("score") <= lower).orderBy(F.col("score").desc()).offset(e - 1 - above).limit(1).first()[0] if e > above else edges.where(F.col("score") > lower).orderBy(F.col("score").desc()).offset(e - 1).limit(1).first()[0]
+    return float("nan") if e <= missing else ranked_values(edges.where(~F.isnan("score")), "score", [stored - e])[0]
 
 
 def statistics(edges: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -143,10 +198,82 @@ def report_thresholds(least: float, greatest: float, blast: bool, limit: int = 2
     return [round(x * step, 10) for x in range(math.floor(least / step), math.ceil(greatest / step) + 1)]
 
 
+def quantile_values(rows: DataFrame, column: str, fractions: list[float]) -> list[float]:
+    """Exact quantiles with linear interpolation of a column's finite and infinite values; NaN and nulls left out, none without values."""
+    own = rows.where(F.col(column).isNotNull() & ~F.isnan(column)).select(column)
+    n = own.count()
+    if not n:
+        return []
+    at = [f * (n - 1) for f in fractions]
+    values = ranked_values(own, column, [int(p) for p in at] + [min(int(p) + 1, n - 1) for p in at])
+    return [a + (b - a) * (p - int(p)) for a, b, p in zip(values, values[len(at) :], at, strict=False)]
+
+
 def quantiles(edges: DataFrame, percents: list[float], score: str = "score") -> DataFrame:
     """Exact quantiles with linear interpolation; NaN left out."""
-    p = edges.where(~F.isnan(score)).agg(F.percentile(score, F.array(*(F.lit(x / 100) for x in percents))).alias("q"))
-    return p.select(F.posexplode("q").alias("k", "value")).select(F.element_at(F.array(*(F.lit(float(x)) for x in percents)), F.col("k") + 1).alias("percent"), "value")
+    values = quantile_values(edges, score, [p / 100 for p in percents])
+    return edges.sparkSession.createDataFrame(list(zip(map(float, percents), values, strict=False)), "percent double, value double")
+
+
+def equal_bands(rows: DataFrame, column: str, bands: int) -> DataFrame:
+    """``(band, n, low, high)``: the ends of ``bands`` stretches of the ordered values that differ by one row at most, as ntile deals them."""
+    n = rows.count()
+    sizes = [n // bands + (k < n % bands) for k in range(bands)]
+    ends = [(k, int(sum(sizes[:k])), size) for k, size in enumerate(sizes) if size]
+    values = ranked_values(rows, column, [s for _, s, _ in ends] + [s + size - 1 for _, s, size in ends]) if ends else []
+    out = [(k + 1, size, a, b) for (k, _, size), a, b in zip(ends, values, values[len(ends) :], strict=False)]
+    return rows.sparkSession.createDataFrame(out, "band int, n long, low double, high double")
+
+
+#: A calibration sample: its share of the pairs below the cut, the least and most of them, bands and seed.
+SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST, SAMPLE_BANDS, SAMPLE_SEED = 0.01, 2000, 50_000, 20, 42
+
+
+def calibration_sample(pairs: DataFrame, threshold: float, size: int | None = None, bands: int = SAMPLE_BANDS) -> DataFrame:
+    """``(i, j, score, weight)``: pairs below a similarity, as many from each of ``bands`` bands of equal count, by a hash with a fixed seed; the weight is the band's count over those drawn.
+
+    Bands end at quantiles, as a range [low, high); all pairs are taken, with weight 1, where there are
+    no more than ``size``, which is a share of them by default.
+    """
+    skipped = pairs.where(F.col("score") < threshold).select("i", "j", "score")
+    n = skipped.count()
+    size = min(min(max(round(SAMPLE_SHARE * n), SAMPLE_LEAST), SAMPLE_MOST) if size is None else size, n)
+    if size == n:
+        return skipped.withColumn("weight", F.lit(1.0))
+    edges = quantile_values(skipped, "score", [k / bands for k in range(bands + 1)])
+    band = F.least(F.size(F.filter(F.array(*(F.lit(x) for x in edges[1:])), lambda e: e <= F.col("score"))), F.lit(bands - 1))
+    placed = skipped.withColumn("band", band)
+    counts = {r["band"]: r["n"] for r in placed.groupBy("band").agg(F.count("*").alias("n")).collect()}
+    rows = [(b, min(size // bands + (b < size % bands), c), c) for b, c in counts.items()]
+    takes = pairs.sparkSession.createDataFrame(rows, "band int, take long, members long")
+    # A band's first rows by hash: those under a limit that leaves some more than are taken, then ranked.
+    mark = F.pmod(F.xxhash64(F.lit(SAMPLE_SEED), "i", "j"), F.lit(1 << 40))
+    limit = (F.col("take") + 8 * F.sqrt(F.col("take").cast("double")) + 64) / F.col("members")
+    near = placed.join(F.broadcast(takes), "band").withColumn("mark", mark).where(F.col("mark") < limit * (1 << 40))
+    rank = F.row_number().over(Window.partitionBy("band").orderBy("mark", "i", "j"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= F.col("take")).select("i", "j", "score", (F.col("members") / F.col("take")).alias("weight"))
+
+
+def locate_pairs(sample: DataFrame, edges: DataFrame, pos: str = "pos") -> DataFrame:
+    """``(i, j, pos)`` of sampled pairs: the first position of an edge between them in either direction, -1 without one."""
+    key = lambda d, *more: d.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), *more)
+    first = key(edges, pos).groupBy("i", "j").agg(F.min(pos).alias(pos))
+    return key(sample).join(first, ["i", "j"], "left").select("i", "j", F.coalesce(F.when(F.col("i") != F.col("j"), F.col(pos)), F.lit(-1)).alias(pos))
+
+
+def condensed_index(i: Column, j: Column, n: int) -> Column:
+    """Place of a pair in the row-major upper triangle of an n x n matrix."""
+    low, high = F.least(i, j).cast("long"), F.greatest(i, j).cast("long")
+    return (low * (2 * n - low - 1) / 2).cast("long") + high - low - 1
+
+
+def condensed_pair(place: Column, n: int) -> tuple[Column, Column]:
+    """The pair (i, j), i < j, at a place of the upper triangle; the square root is corrected by a step either way."""
+    start = lambda r: (r * (2 * n - r - 1) / 2).cast("long")
+    guess = F.greatest(F.least(F.floor((2 * n - 1 - F.sqrt((F.lit(2 * n - 1) * (2 * n - 1) - 8 * place).cast("double"))) / 2).cast("long"), F.lit(n - 2).cast("long")), F.lit(0).cast("long"))
+    down = guess - (start(guess) > place).cast("long")
+    i = down + (start(down + 1) <= place).cast("long")
+    return i, place - start(i) + i + 1
 
 
 def histogram(values: DataFrame, column: str, bins: int = 20) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meshwright.operators.edges import quantile_values
+
 
 def merge(nodes: DataFrame, rows: DataFrame, header: str, values: dict[str, str], order: str) -> DataFrame:
     """Left join of uploaded rows by exact header; blanks never overwrite, the last row with a value wins."""
@@ -36,12 +38,12 @@ def describe_fields(rows: DataFrame, numbers: list[str], texts: list[str]) -> Da
 
 
 def numeric_summary(rows: DataFrame, column: str) -> DataFrame:
-    """Counts and quartiles of a number."""
+    """Valid, missing and invalid (infinite) counts and quartiles of a number."""
     v = F.col(column).cast("double")
     ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    q = F.percentile(F.when(ok, v), F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    row = rows.agg(F.count_if(ok).alias("valid"), F.count_if(v.isNull() | F.isnan(v)).alias("missing"), q.alias("q"))
-    return row.select("valid", "missing", *(F.col("q")[k].alias(n) for k, n in enumerate(("least", "q1", "median", "q3", "greatest"))))
+    row = rows.agg(F.count_if(ok).alias("valid"), F.count_if(v.isNull() | F.isnan(v)).alias("missing"), F.count_if(F.abs(v) == float("inf")).alias("invalid"))
+    q = quantile_values(rows.where(ok).select(v.alias("v")), "v", [0.0, 0.25, 0.5, 0.75, 1.0]) or [None] * 5
+    return row.select("*", *(F.lit(x).cast("double").alias(n) for x, n in zip(q, ("least", "q1", "median", "q3", "greatest"), strict=True)))
 
 
 def category_summary(rows: DataFrame, column: str, top: int = 10) -> DataFrame:

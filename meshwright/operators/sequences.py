@@ -204,8 +204,11 @@ def extract_embeddings(store: DataFrame, wanted: DataFrame, header: str = "heade
 
 
 def length_statistics(records: DataFrame, seq: str = "seq") -> DataFrame:
+    from meshwright.operators.edges import quantile_values
+
     n = F.length(seq)
-    return records.agg(F.count(seq).alias("n"), F.min(n).alias("least"), F.percentile(n, F.lit(0.5)).alias("median"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("sd"), F.max(n).alias("greatest"))
+    median = quantile_values(records.select(n.cast("double").alias("n")), "n", [0.5]) or [None]
+    return records.agg(F.count(seq).alias("n"), F.min(n).alias("least"), F.lit(median[0]).cast("double").alias("median"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("sd"), F.max(n).alias("greatest"))
 
 
 def length_histogram(records: DataFrame, seq: str = "seq", most: int = 50) -> DataFrame:

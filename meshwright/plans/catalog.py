@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from meshwright.functions import predicate
 from meshwright.operators import alignment, dynamic, edges, graph, metadata, sequences, trees
+from meshwright.session import materialize
 from meshwright.streaming import windows
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,8 +55,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.all_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("score", F.round("score", 6))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs, scored once for queries that read them several times."""
+    return materialize(pairs(spark, sf_dir))
+
+
 def net(spark: SparkSession, sf_dir: str, least: float = 0.3) -> DataFrame:
-    return edges.at_least(pairs(spark, sf_dir), least)
+    return materialize(edges.at_least(pairs(spark, sf_dir), least))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,17 +80,17 @@ def score_statistics(spark, sf_dir):
 
 @query(f"WITH {PAIRS}, q AS (SELECT unnest([0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100])::DOUBLE AS percent), r AS (SELECT quantile_cont(score, [0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1]) AS v FROM p) SELECT unnest([0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100])::DOUBLE AS percent, round(unnest(v), 6) AS value FROM r")
 def score_quantiles(spark, sf_dir):
-    return edges.quantiles(pairs(spark, sf_dir), [0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100]).withColumn("value", F.round("value", 6))
+    return edges.quantiles(stored(spark, sf_dir), [0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100]).withColumn("value", F.round("value", 6))
 
 
 @query(f"WITH {PAIRS}, m AS (SELECT min(score) lo, max(score) hi FROM p), b AS (SELECT least(floor((score - lo) / ((hi - lo) / 20.0)), 19)::INT AS bin, count(*) n FROM p, m GROUP BY 1) SELECT s.bin::INT AS bin, round(lo + s.bin * (hi - lo) / 20, 6) AS low, round(lo + (s.bin + 1) * (hi - lo) / 20, 6) AS high, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(20)) AS bin) s CROSS JOIN m LEFT JOIN b ON s.bin = b.bin")
 def score_histogram(spark, sf_dir):
-    return edges.histogram(pairs(spark, sf_dir), "score").select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.col("n").cast("long").alias("n"))
+    return edges.histogram(stored(spark, sf_dir), "score").select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.col("n").cast("long").alias("n"))
 
 
 @query(f"WITH {PAIRS}, m AS (SELECT floor(min(score) * 10)::BIGINT lo, ceil(max(score) * 10)::BIGINT hi FROM p), t AS (SELECT unnest(range(lo, hi + 1)) / 10.0 AS threshold FROM m) SELECT threshold::DOUBLE AS threshold, (SELECT count(*) FROM p WHERE score >= threshold::DOUBLE) AS kept FROM t")
 def report_thresholds(spark, sf_dir):
-    p = pairs(spark, sf_dir)
+    p = stored(spark, sf_dir)
     low, high = p.agg(F.min("score"), F.max("score")).first()
     return edges.statistics(p, edges.report_thresholds(low, high, blast=False)).select("threshold", "kept")
 
@@ -119,14 +125,14 @@ def topk_undirected(spark, sf_dir):
 
 @query(f"WITH {PAIRS}, b AS (SELECT i AS node, j AS other, score FROM p UNION ALL SELECT j, i, score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other)::INT AS rank FROM b), m AS (SELECT max(score) AS top FROM p) SELECT node, rank, other, round(top - score, 6) AS distance FROM r, m WHERE rank <= 4")
 def knn_table(spark, sf_dir):
-    p = pairs(spark, sf_dir)
+    p = stored(spark, sf_dir)
     top = p.agg(F.max("score")).first()[0]
     return edges.nearest_partners(p, 4).select("node", "rank", "other", F.round(F.lit(top) - F.col("score"), 6).alias("distance"))
 
 
 @query(f"WITH {PAIRS}, c AS (SELECT score FROM p ORDER BY score DESC LIMIT 1 OFFSET (SELECT greatest(1, floor(count(*) * 0.01))::BIGINT - 1 FROM p)) SELECT i, j, score FROM p WHERE score >= (SELECT score FROM c)")
 def top_percent_cutoff(spark, sf_dir):
-    p, n = pairs(spark, sf_dir), nodes(spark, sf_dir).count()
+    p, n = stored(spark, sf_dir), nodes(spark, sf_dir).count()
     return edges.at_least(p, edges.percent_cutoff(p, n, 1.0))
 
 
@@ -218,15 +224,13 @@ def guide_trees(spark, sf_dir):
 
 @query(f"WITH {PAIRS}, q AS (SELECT quantile_cont(score, 0.8) AS c FROM p) SELECT i, j, score FROM p, q WHERE score >= c")
 def prefilter_cut(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    cut = p.agg(F.percentile("score", F.lit(0.8)).alias("c"))
-    return p.join(F.broadcast(cut), F.col("score") >= F.col("c")).select("i", "j", "score")
+    p = stored(spark, sf_dir)
+    return p.where(F.col("score") >= edges.quantile_values(p, "score", [0.8])[0]).select("i", "j", "score")
 
 
 @query(f"WITH {PAIRS}, s AS (SELECT i, j, score, ntile(20) OVER (ORDER BY score, i, j) AS band FROM p) SELECT band::INT AS band, count(*) AS n, min(score) AS low, max(score) AS high FROM s GROUP BY band")
 def calibration_bands(spark, sf_dir):
-    w = Window.orderBy("score", "i", "j")
-    return pairs(spark, sf_dir).withColumn("band", F.ntile(20).over(w)).groupBy("band").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+    return edges.equal_bands(stored(spark, sf_dir), "score", 20)
 
 
 @query(f"WITH {PAIRS} SELECT row_number() OVER (ORDER BY score DESC, node)::INT AS rank, node, score FROM (SELECT CASE WHEN i = 0 THEN j ELSE i END AS node, score FROM p WHERE (i = 0 OR j = 0) AND score >= 0.05) ORDER BY rank LIMIT 20")
