@@ -80,8 +80,7 @@ class WordCoder:
         for w in words:
             low = w.lower() if self.parts else w
             stem = low.rstrip(b",.!?;:|*$%&#") if self.parts else low
-            letters = stem.decode("utf-8", "replace") if 0 < len(stem) < len(low) else ""
-            if letters.isalpha() and self._cuts(letters[-1], chr(low[len(stem)])):
+            if 0 < len(stem) < len(low) and (stem.isalpha() or stem.decode("utf-8", "replace").isalpha()) and self._cuts(stem[-4:].decode("utf-8", "ignore")[-1:], low[len(stem) : len(stem) + 1].decode()):
                 split.append((w, stem, low[len(stem) :]))
             else:
                 split.append((w, low, None))
