@@ -90,7 +90,7 @@ def pair_blocks(rows: DataFrame, row: str, seq: str, use: Callable[[np.ndarray,
     keys = [*(["_group"] if keys else []), "_a", "_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+        current, held, kind = None, [], None
 
         def settle() -> Iterator[pa.RecordBatch]:
             x = [r[-2:] for r in held if r[-3] == r[-5]]
@@ -99,10 +99,11 @@ def pair_blocks(rows: DataFrame, row: str, seq: str, use: Callable[[np.ndarray,
             if x and y:
                 for batch in use(np.array([i for i, _ in x], np.int64), [t for _, t in x], np.array([i for i, _ in y], np.int64), [t for _, t in y], same):
                     if len(keys) == 3:
-                        batch = pa.RecordBatch.from_arrays([pa.array([current[0]] * batch.num_rows), *batch.columns], ["group", *batch.schema.names])
+                        batch = pa.RecordBatch.from_arrays([pa.array([current[0]] * batch.num_rows, kind), *batch.columns], ["group", *batch.schema.names])
                     yield batch
 
         for batch in batches:
+            kind = batch.schema.field(0).type
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r[: len(keys)] != current:
                     if held:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.operators.sequences import clean_header
 from meshwright.session import materialize
 
 TREE = "node int, parent int, length double, label string"
@@ -171,3 +172,129 @@ def clade_rows(clades: DataFrame, leaves: DataFrame, value: str) -> DataFrame:
     """Leaves, those with a value and its median per clade; ``leaves (leaf, value)`` meet intervals by an exploded key."""
     spread = clades.select("node", F.explode(F.sequence("first", "last")).alias("leaf"))
     return spread.join(leaves, "leaf", "left").groupBy("node").agg(F.count("*").alias("leaves"), F.count(value).alias("known"), F.percentile(value, F.lit(0.5)).alias("median"))
+
+
+def match_leaves(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(leaf, label, node, status)``: the node whose header a leaf's label is, exactly or else after cleaning.
+
+    Labels that reach one header by cleaning together, or one that another label already is, are
+    ambiguous and name no node.  Status is exact, sanitized, ambiguous or unmatched.
+    """
+    heads = nodes.groupBy("header").agg(F.min("node").alias("node"))
+    first = leaves.select("leaf", "label").join(heads.withColumnRenamed("header", "label"), "label", "left")
+    exact = first.where("node is not null")
+    tried = first.where("node is null").select("leaf", "label", clean_header(F.col("label")).alias("header")).join(heads, "header", "left").drop("header")
+    counts = tried.where("node is not null").groupBy("node").agg(F.count("*").alias("n"))
+    taken = exact.select("node").distinct().withColumn("taken", F.lit(True))
+    tried = tried.join(counts, "node", "left").join(taken, "node", "left")
+    status = F.when(F.col("node").isNull(), "unmatched").when((F.col("n") > 1) | F.coalesce("taken", F.lit(False)), "ambiguous").otherwise("sanitized")
+    rest = tried.withColumn("status", status).select("leaf", "label", F.when(F.col("status") == "sanitized", F.col("node")).alias("node"), "status")
+    return exact.select("leaf", "label", "node", F.lit("exact").alias("status")).unionByName(rest)
+
+
+def mismatch(leaves: DataFrame, nodes: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
+    """``(fault, name)``: labels of no node, headers of nodes that no leaf names, ambiguous labels and, given the aligned nodes, labels of nodes without a row."""
+    found = match_leaves(leaves, nodes)
+    named = lambda rows, fault, name: rows.select(F.lit(fault).alias("fault"), F.col(name).alias("name"))
+    out = named(found.where("node is null"), "leaf_not_in_network", "label")
+    out = out.unionByName(named(nodes.join(found.select("node").distinct(), "node", "left_anti"), "node_not_in_tree", "header"))
+    out = out.unionByName(named(found.where("status = 'ambiguous'"), "ambiguous", "label"))
+    if aligned is not None:
+        out = out.unionByName(named(found.where("node is not null").join(aligned.select("node"), "node", "left_anti"), "leaf_not_in_alignment", "label"))
+    return out
+
+
+def midpoint(rows: list[tuple[int, int, float | None, str]]) -> list[tuple[int, int, float | None, str]]:
+    """The tree ``(node, parent, length, label)`` rooted half way between the two most distant leaves, in pre-order; a root of two children that is not the middle goes."""
+    near: dict[int, list[tuple[int, float]]] = {n: [] for n, *_ in rows}
+    for n, p, x, _ in rows:
+        if p >= 0:
+            near[n].append((p, x or 0.0))
+            near[p].append((n, x or 0.0))
+    old = rows[0][0]
+    if len(near[old]) == 2:
+        (a, x), (b, y) = near.pop(old)
+        near[a] = [(b, x + y) if k == old else (k, v) for k, v in near[a]]
+        near[b] = [(a, x + y) if k == old else (k, v) for k, v in near[b]]
+
+    def away(start: int) -> tuple[dict[int, float], dict[int, int]]:
+        far, via, todo = {start: 0.0}, {start: -1}, [start]
+        while todo:
+            n = todo.pop()
+            for k, x in near[n]:
+                if k not in far:
+                    far[k], via[k] = far[n] + x, n
+                    todo.append(k)
+        return far, via
+
+    leaves = [n for n in near if len(near[n]) == 1]
+    if len(leaves) < 2:
+        return rows
+    one = away(leaves[0])[0]
+    start = max(leaves, key=lambda n: (one[n], -n))
+    far, via = away(start)
+    end = max(leaves, key=lambda n: (far[n], -n))
+    half, n = far[end] / 2, end
+    while via[n] >= 0 and far[via[n]] >= half:
+        n = via[n]
+    # The root lies on the edge from n towards the start.
+    root = max(near) + 1
+    up, x = via[n], far[n] - far[via[n]] if via[n] >= 0 else 0.0
+    below = far[n] - half
+    near[n] = [(root, below) if k == up else (k, v) for k, v in near[n]]
+    near[up] = [(root, x - below) if k == n else (k, v) for k, v in near[up]]
+    near[root] = [(n, below), (up, x - below)]
+    names = {n: label for n, _, _, label in rows}
+    out, todo = [], [(root, -1, -1, None)]
+    while todo:
+        n, came, parent, x = todo.pop()
+        out.append((len(out), parent, x, names.get(n, "")))
+        mine = len(out) - 1
+        todo += [(k, n, mine, v) for k, v in sorted(near[n], reverse=True) if k != came]
+    return out
+
+
+def write_nexus(rows: list[tuple[int, int, float | None, str]], name: str = "tree", notes: dict[str, str] | None = None) -> str:
+    """A NEXUS file of one tree with its taxa and notes as comments."""
+    inner = {p for _, p, *_ in rows}
+    taxa = [label for n, _, _, label in rows if n not in inner]
+    quote = lambda s: "'" + s.replace("'", "''") + "'" if re.search(r"[^\w.|-]", s) or not s else s
+    comments = "".join(f"[{k} {v}]\n" for k, v in (notes or {}).items())
+    return f"#NEXUS\n{comments}BEGIN TAXA;\n  DIMENSIONS NTAX={len(taxa)};\n  TAXLABELS {' '.join(map(quote, taxa))};\nEND;\nBEGIN TREES;\n  TREE {quote(name)} = {write_newick(rows)}\nEND;\n"
+
+
+def parse_phyloxml(text: str) -> list[tuple[int, int, float | None, str]]:
+    """``(node, parent, length, label)`` in pre-order of the first phylogeny of a phyloXML text."""
+    import xml.etree.ElementTree as ET
+
+    bare = lambda e: e.tag.rsplit("}", 1)[-1]
+    root = next((c for e in ET.fromstring(text).iter() if bare(e) == "phylogeny" for c in e if bare(c) == "clade"), None)
+    if root is None:
+        raise ValueError("no phylogeny with a clade")
+    out, todo = [], [(root, -1)]
+    while todo:
+        e, parent = todo.pop()
+        child = {bare(c): (c.text or "").strip() for c in e}
+        length = e.get("branch_length") or child.get("branch_length")
+        out.append((len(out), parent, float(length) if length and parent >= 0 else None, child.get("name", "")))
+        mine = len(out) - 1
+        todo += [(c, mine) for c in reversed(list(e)) if bare(c) == "clade"]
+    return out
+
+
+def parse_nested_json(text: str) -> list[tuple[int, int, float | None, str]]:
+    """``(node, parent, length, label)`` in pre-order of nested objects with ``children``, a ``name`` and a length (``branch_length``, ``length``, or the growth of ``node_attrs.div``); a jplace text's tree is read as Newick without its edge numbers."""
+    import json
+
+    found = json.loads(text)
+    if isinstance(found.get("tree"), str):
+        return parse_newick(re.sub(r"\{\d+\}", "", found["tree"]))
+    out, todo = [], [(found.get("tree", found), -1, None)]
+    while todo:
+        e, parent, above = todo.pop()
+        div = (e.get("node_attrs") or {}).get("div")
+        length = e.get("branch_length", e.get("length", None if div is None or above is None else div - above))
+        out.append((len(out), parent, float(length) if length is not None and parent >= 0 else None, str(e.get("name") or e.get("strain") or "")))
+        mine = len(out) - 1
+        todo += [(c, mine, div) for c in reversed(e.get("children") or [])]
+    return out

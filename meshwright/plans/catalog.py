@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meshwright.functions import predicate
-from meshwright.operators import alignment, dynamic, edges, graph, metadata, sequences, trees
+from meshwright.operators import alignment, dynamic, edges, graph, metadata, profiles, sequences, trees
 from meshwright.session import materialize
 from meshwright.streaming import windows
 
@@ -172,7 +172,7 @@ def jaccard_edges(spark, sf_dir):
     return graph.jaccard(net(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query()
+@query(f"WITH RECURSIVE {PAIRS}{JACCARD}, kb AS (SELECT i AS a, j AS b FROM jac WHERE jaccard >= 0.2 UNION ALL SELECT j, i FROM jac WHERE jaccard >= 0.2), reach(node, other) AS (SELECT vec_id, vec_id FROM u UNION SELECT r.node, kb.b FROM reach r JOIN kb ON r.other = kb.a), c AS (SELECT node, min(other) AS component FROM reach GROUP BY node), s AS (SELECT component, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 3), k AS (SELECT component, row_number() OVER (ORDER BY n DESC, component) AS cluster FROM s) SELECT node, coalesce(cluster, -1)::INT AS cluster FROM c LEFT JOIN k ON k.component = c.component")
 def jaccard_clusters(spark, sf_dir):
     return graph.jaccard_clusters(nodes(spark, sf_dir), net(spark, sf_dir), 0.2, 3)
 
@@ -210,11 +210,6 @@ def cut_tree(spark, sf_dir):
     return graph.cut_tree(nodes(spark, sf_dir), graph.spanning_forest(net(spark, sf_dir)), 0.35)
 
 
-@query()
-def threshold_tree(spark, sf_dir):
-    return graph.spanning_forest(net(spark, sf_dir))
-
-
 @query()
 def guide_trees(spark, sf_dir):
     n = nodes(spark, sf_dir)
@@ -573,11 +568,9 @@ IDENTITY = "d AS (SELECT row_number() OVER (ORDER BY s) AS row, s FROM (SELECT D
 
 
 def identity(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").select(F.replace(F.upper("p_name"), F.lit(" "), F.lit("-")).alias("s")).distinct()
-    rows = rows.withColumn("row", F.row_number().over(Window.orderBy("s")).cast("long"))
-    m = alignment.long_form(rows, "row", "s")
-    both = rows.select(F.col("row").alias("a")).join(rows.select(F.col("row").alias("b")), F.col("a") < F.col("b"))
-    return alignment.identities(m, both)
+    rows = read(spark, sf_dir, "part").select(F.rpad(F.replace(F.upper("p_name"), F.lit(" "), F.lit("-")), 64, "-").alias("s")).distinct()
+    rows = rows.withColumn("row", F.row_number().over(Window.orderBy(F.rtrim("s", F.lit("-")))).cast("long"))
+    return profiles.identity_pairs(rows, "row", "s")
 
 
 @query(f"WITH {IDENTITY} SELECT pr.a, pr.b, round(same::DOUBLE / len, 9) AS identity FROM pr LEFT JOIN q ON q.a = pr.a AND q.b = pr.b")
@@ -612,3 +605,6 @@ def events_session(spark, sf_dir):
 @query("SELECT event_id, (props::JSON->>'k')::INT AS k FROM events")
 def events_json(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+from meshwright.plans import extended  # noqa: E402, F401  (registers its queries)
