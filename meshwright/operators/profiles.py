@@ -206,7 +206,7 @@ def identity_means(pairs: DataFrame) -> DataFrame:
 def identity_table(pairs: DataFrame, names: list[int]) -> DataFrame:
     """Rows against rows in percent with two decimals, blank where undefined, 100.00 on the diagonal; ``names`` are the columns, which bound the table's width."""
     both = pairs.select("a", "b", "identity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "identity"))
-    shown = F.coalesce(F.format_string("%.2f", F.col("identity") * 100), F.lit(""))
+    shown = F.when(F.col("identity").isNull(), "").otherwise(F.format_string("%.2f", F.col("identity") * 100))
     wide = both.where(F.col("a").isin(names) & F.col("b").isin(names)).withColumn("v", shown).groupBy("a").pivot("b", names).agg(F.first("v"))
     cell = lambda n: F.when(F.col("a") == n, "100.00").otherwise(F.coalesce(F.col(str(n)), F.lit("")))
     return wide.select(F.col("a").alias("row"), *(cell(n).alias(str(n)) for n in names))

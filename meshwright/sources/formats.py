@@ -203,8 +203,8 @@ def check_embeddings(store: DataFrame) -> DataFrame:
         .when(F.exists(widths, lambda w: w != F.lit(width[1])), "other width")
         .when(~finite, "values not finite")
     )
-    counts = store.groupBy("header").agg(F.count("*").alias("_n"))
-    return store.join(counts, store["header"].eqNullSafe(counts["header"]), "left").select(store["header"], fault.alias("fault")).where("fault is not null")
+    counts = store.groupBy(F.col("header").alias("_header")).agg(F.count("*").alias("_n"))
+    return store.join(counts, F.col("header").eqNullSafe(F.col("_header")), "left").select("header", fault.alias("fault")).where("fault is not null").distinct()
 
 
 def match_sources(records: DataFrame, keys: DataFrame, id_map: DataFrame | None = None) -> DataFrame:
