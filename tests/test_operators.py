@@ -100,8 +100,8 @@ def test_metadata_merge_keeps_old_values(spark):
 
 
 def test_unique_headers_skip_taken_names(spark):
-    r = spark.createDataFrame([("n", "A"), ("n", "B"), ("n_1", "C")], "header string, seq string")
-    assert {x["header"] for x in sequences.unique_headers(r).collect()} == {"n", "n_1", "n_2"}
+    r = spark.createDataFrame([("n", "A", 0), ("n", "B", 1), ("n_1", "C", 2)], "header string, seq string, pos long")
+    assert {(x["seq"], x["header"]) for x in sequences.unique_headers(r).collect()} == {("A", "n_2"), ("B", "n_3"), ("C", "n_1")}
 
 
 def test_identity_window(spark):
@@ -152,8 +152,8 @@ def test_trees(spark):
 def test_formats(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">one two\nAC\nDE\n>b\nKK\n")
     r = formats.read_fasta(spark, str(tmp_path / "a.fasta"))
-    assert rows(r) == [("b", "KK"), ("one two", "ACDE")]
-    formats.write_fasta(r, str(tmp_path / "out"))
+    assert rows(r) == [("b", "KK", 1), ("one two", "ACDE", 0)]
+    formats.write_fasta(r, str(tmp_path / "out"), order="pos")
     assert rows(formats.read_fasta(spark, str(tmp_path / "out"))) == rows(r)
     line = "a\tb\t90.0\t10\t1\t0\t1\t10\t1\t10\t1e-5\t50\n"
     (tmp_path / "h.tsv").write_text(line + line.replace("a\tb", "b\ta").replace("1e-5", "1e-9"))
@@ -163,7 +163,7 @@ def test_formats(spark, tmp_path):
     (tmp_path / "h7.txt").write_text("# BLASTP 2.1\n# Query: q1\n# Fields: subject id, evalue\nx\t1\n# Query: q2\n# Fields: subject id, evalue\ny\t2\n")
     assert [x["query"] for x in formats.read_commented_hits(spark, str(tmp_path / "h7.txt")).collect()] == ["q1", "q2"]
     (tmp_path / "m.csv").write_text(",Score,Name\n,number,text\nn1,1.5,\nn2,bad,x\n")
-    assert rows(formats.read_metadata(spark, str(tmp_path / "m.csv"))) == [("n1", 1.5, ""), ("n2", None, "x")]
+    assert rows(formats.read_metadata(spark, str(tmp_path / "m.csv")).drop("order")) == [("n1", 1.5, ""), ("n2", None, "x")]
 
 
 def test_stream_matches_batch(spark, tmp_path):
