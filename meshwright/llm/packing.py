@@ -14,11 +14,14 @@ read.  An empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import gc
+import json
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,8 +31,8 @@ from meshwright.llm._common import arrow_map, chunks, materialize, text_bytes
 CAPACITY = 2048
 #: Pieces of a block whose ranks one task numbers.
 BLOCK_ROWS = 4_000
-#: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Distinct words of a generation; a worker remembers two.
+CACHE_WORDS = 300_000
 
 _CODERS: dict = {}
 
@@ -41,6 +44,9 @@ class WordCoder:
     trailing punctuation are coded apart, if the tokenizer itself codes the two signs at the cut apart
     (it does not behind letters that it normalises to end with a mark).  New words are coded together
     in one text, parted by a sign that is a single id.
+
+    A full cache becomes the older generation.  Words of it that occur again move to the new one, so
+    that rare words fall out and frequent ones are coded once.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,11 +56,13 @@ class WordCoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
+        self.older: tuple[dict[bytes, bytes], dict[bytes, bytes]] = {}, {}
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.mark = next(m for m in "^~`\\|" if len(ids(m)) == 1)
         self.mark_id = ids(self.mark)[0]
         self.parts = ids("Ab,.") == ids("ab") + ids(",.")
         self.ids, self.apart = ids, {}
+        self.ends = self._ends()
 
     def _cuts(self, last: str, first: str) -> bool:
         """Whether the tokenizer cuts between a letter and the sign behind it."""
@@ -62,45 +70,105 @@ class WordCoder:
             self.apart[last, first] = self.ids(last + first) == self.ids(last) + self.ids(first)
         return self.apart[last, first]
 
+    def _ends(self) -> np.ndarray | None:
+        """Which ids end a pre-token, if the tokenizer marks each one's end by a suffix."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        model = json.loads(self.tokenizer.to_str())["model"]
+        suffix = model.get("end_of_word_suffix")
+        if not suffix or any(c + suffix not in model["vocab"] for c in ByteLevel.alphabet()):
+            return None
+        ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        ends[[i for word, i in model["vocab"].items() if word.endswith(suffix)]] = True
+        return ends
+
+    def _together(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        raw = ids.tobytes()
+        for word, s, e in zip(words, starts, ends, strict=True):
+            self.stems[word] = raw[4 * s : 4 * e]
+
     def _code(self, words: list[bytes]) -> None:
         """Learn ``words`` as they stand."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [k for k, w in enumerate(texts) if self.mark not in w]
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(texts[k] for k in plain)], add_special_tokens=False)[0].ids, "<u4")
+        left = range(len(words))
+        if self.ends is not None:
+            # A word of letters is one pre-token at least, so where there are as many ends as words, each is one.
+            letters = [k for k, text in enumerate(texts) if text.isalpha()]
+            ids = self._together(" ".join([texts[k] for k in letters]))
+            cut = np.flatnonzero((ids < len(self.ends)) & self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+            if letters and len(cut) == len(letters):
+                self._keep([words[k] for k in letters], ids, [0, *cut[:-1].tolist()], cut.tolist())
+                left = sorted(set(left).difference(letters))
+        plain = [k for k in left if self.mark not in texts[k]]
+        ids = self._together(f" {self.mark} ".join([texts[k] for k in plain]))
         cut = np.flatnonzero(ids == self.mark_id)
-        if len(cut) != max(0, len(plain) - 1):
-            plain = []
-        for k, s, e in zip(plain, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=bool(plain)):
-            self.stems[words[k]] = ids[s:e].tobytes()
-        for k in sorted(set(range(len(words))) - set(plain)):
+        if plain and len(cut) == len(plain) - 1:
+            self._keep([words[k] for k in plain], ids, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)])
+            left = sorted(set(left).difference(plain))
+        for k in left:
             self.stems[words[k]] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        split = []
+        whole, split = [], []
         for w in words:
             low = w.lower() if self.parts else w
             stem = low.rstrip(b",.!?;:|*$%&#") if self.parts else low
-            letters = stem.decode("utf-8", "replace") if 0 < len(stem) < len(low) else ""
-            if letters.isalpha() and self._cuts(letters[-1], chr(low[len(stem)])):
-                split.append((w, stem, low[len(stem) :]))
+            if 0 < len(stem) < len(low):
+                letters = stem.decode("utf-8", "replace")
+                if letters.isalpha() and self._cuts(letters[-1], chr(low[len(stem)])):
+                    split.append((w, stem, low[len(stem) :]))
+                    continue
+            whole.append((w, low))
+        stems, older = self.stems, self.older[1]
+        need = []
+        for x in {low for _, low in whole}.union(*(both for _, *both in split)).difference(stems):
+            if x in older:
+                stems[x] = older[x]
             else:
-                split.append((w, low, None))
-        need = list({x for _, *both in split for x in both if x is not None and x not in self.stems})
+                need.append(x)
         for s in range(0, len(need), 4000):
             self._code(need[s : s + 4000])
+        for w, low in whole:
+            self.known[w] = stems[low]
         for w, stem, tail in split:
-            self.known[w] = self.stems[stem] if tail is None else self.stems[stem] + self.stems[tail]
+            self.known[w] = stems[stem] + stems[tail]
 
-    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
+    def encode_batch(self, texts: pa.Array | list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary())
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.older = {}, (self.known, self.older[1])
         if len(self.stems) > CACHE_WORDS:
-            self.stems.clear()
-        known, words = self.known, [t.split() for t in texts]
-        if new := [w for w in set().union(*words) if w not in known]:
-            self._learn(new)
-        return [b"".join([known[w] for w in ws]) for ws in words]
+            self.stems, self.older = {}, (self.older[0], self.stems)
+        # Words are parted, told apart and put back by Arrow, so that Python sees each one of a batch once.
+        parts = pc.ascii_split_whitespace(texts.view(pa.string()))
+        told = parts.flatten().dictionary_encode()
+        words = told.dictionary.view(pa.binary()).to_pylist()
+        collecting = gc.isenabled()
+        gc.disable()  # many lists and tuples, none in a cycle
+        try:
+            known, older = self.known, self.older[0]
+            new = []
+            for w in words:
+                if w not in known:
+                    if w in older:
+                        known[w] = older[w]
+                    else:
+                        new.append(w)
+            if new:
+                self._learn(new)
+            ids = pa.array([known[w] for w in words], pa.large_binary()).take(told.indices)
+        finally:
+            if collecting:
+                gc.enable()
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        ends = at[np.asarray(parts.offsets) - parts.offsets[0].as_py()].tolist() if len(ids) else [0] * (len(parts) + 1)
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[s:e]) for s, e in zip(ends, ends[1:], strict=False)]
 
 
 def coder(path: str) -> WordCoder:
@@ -116,7 +184,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         rows = []
         width = 4 * capacity
         for part in chunks(batch, "data"):
-            for i, ids in zip(part.column(0).to_pylist(), coder(tokenizer_path).encode_batch(part.column(1).to_pylist()), strict=True):
+            for i, ids in zip(part.column(0).to_pylist(), coder(tokenizer_path).encode_batch(part.column(1)), strict=True):
                 ids += b"\0\0\0\0"
                 for k, s in enumerate(range(0, len(ids), width)):
                     cut = ids[s : s + width]
