@@ -114,7 +114,8 @@ class WordCoder:
     def _learn(self, words: list[bytes]) -> None:
         whole, split = [], []
         for w in words:
-            low = w.lower() if self.parts else w
+            # Letters before a mark are composed in their own case (W with a ring is two signs, w with one is one).
+            low = w.lower() if self.parts and w.isascii() else w
             stem = low.rstrip(b",.!?;:|*$%&#") if self.parts else low
             if 0 < len(stem) < len(low):
                 letters = stem.decode("utf-8", "replace")

@@ -116,6 +116,20 @@ def test_every_letter_before_a_sign_is_coded_as_the_tokenizer_does():
     assert [w for w, e, ids in zip(words, want, got, strict=True) if np.array(e.ids, "<u4").tobytes() != ids] == []
 
 
+def test_texts_are_coded_as_the_tokenizer_does_with_any_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 500)
+    own, rng = packing.WordCoder(BPE), random.Random(3)
+    signs = [chr(x) for x in [*range(0x250), *range(0x300, 0x340), *range(0x900, 0x9E0), 0x85, 0x2028, 0x3000, 0x4E2D, 0xAC00, 0x1D400, 0x1F600]]
+    signs += [" "] * 80 + list("abW^.") * 30
+    for _ in range(200):
+        texts = ["".join(rng.choices(signs, k=rng.choice([0, 1, 3, 30, 400]))) for _ in range(20)] + ["", " ", "  a  ", "\t\n", "W\u030a H\u0331, J\u030c", "..."]
+        got = own.encode_batch([t.encode() for t in texts])
+        want = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert [t for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+    assert own.encode_batch([b"...", b""])[1] == b"" and own.encode_batch([]) == []
+    assert packing.WordCoder(BPE).encode_batch([b"... 12"]) == own.encode_batch([b"... 12"])
+
+
 def test_packing_rows_without_ids(spark):
     rows = [(None, "same text")] * 50 + [(None, f"text {k}") for k in range(50)] + [(7, None), (7, "x " * 5000)]
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), BPE).collect()
