@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meshwright.operators.sequences import STANDARD
+from meshwright.session import materialize
 
 
-def long_form(rows: DataFrame, row: str, seq: str) -> DataFrame:
-    """Non-gap cells of aligned sequences; columns from 0."""
-    cells = rows.select(F.col(row).alias("row"), F.posexplode(F.split(F.col(seq), "")).alias("col", "aa"))
-    return cells.where(~F.col("aa").isin("-", ".", " ", "")).select("row", "col", F.upper("aa").alias("aa"))
+def long_form(rows: DataFrame, row: str, seq: str, *more: str) -> DataFrame:
+    """Non-gap cells of aligned sequences; columns from 0.  Columns ``more`` of a row go with its cells."""
+    cells = rows.select(F.col(row).alias("row"), *more, F.posexplode(F.split(F.col(seq), "")).alias("col", "aa"))
+    return cells.where(~F.col("aa").isin("-", ".", " ", "")).select("row", *more, "col", F.upper("aa").alias("aa"))
 
 
 def occupancy(msa: DataFrame, rows: int, least: float = 0.1, reference: int | None = None) -> DataFrame:
@@ -79,16 +80,26 @@ def logo(msa: DataFrame, bits: bool = True) -> DataFrame:
     return p.select("col", "aa", (F.col("p") * info if bits else F.col("p")).alias("height"))
 
 
-def conserved(msa: DataFrame, subsets: DataFrame, sizes: DataFrame, rows: int, cmin: float = 0.98, gmax: float = 0.4, eps: float = 1e-9) -> DataFrame:
-    """Residues conserved in a subset and rare outside all subsets that conserve them."""
-    member = msa.join(subsets, "row").groupBy("subset", "col", "aa").agg(F.count("*").alias("n"))
-    found = member.join(sizes, "subset").where((F.col("n") / F.col("size") >= cmin - eps) & ~F.col("aa").isin("X", "B", "Z", "J"))
-    inside = found.select("subset", "col", "aa").join(subsets, "subset").select("col", "aa", "row").distinct()
-    hits = inside.join(msa, ["col", "aa", "row"], "left_semi").groupBy("col", "aa").agg(F.count("*").alias("hit_in"))
-    union = inside.groupBy("col", "aa").agg(F.count("*").alias("rows_in"))
-    overall = msa.groupBy("col", "aa").agg(F.count("*").alias("hit"))
+def conserved(aligned: DataFrame, row: str, seq: str, subsets: DataFrame, cmin: float = 0.98, gmax: float = 0.4, eps: float = 1e-9) -> DataFrame:
+    """Residues conserved in a subset ``(subset, row)`` and rare outside all subsets that conserve them; ``aligned`` has a sequence for each row.
+
+    Rows count by the set of subsets they are in: each row meets its set before it is cut into cells,
+    and what follows works on counts per set.
+    """
+    sizes = subsets.groupBy("subset").agg(F.count("*").alias("size"))
+    sets = subsets.groupBy("row").agg(F.array_sort(F.collect_set("subset")).alias("sets"))  # a row's own subsets
+    rows = aligned.select(F.col(row).alias("row"), F.col(seq).alias("seq")).join(sets.hint("merge"), "row", "left").withColumn("sets", F.coalesce("sets", F.array().cast(sets.schema["sets"].dataType)))
+    counts = materialize(long_form(rows, "row", "seq", "sets").groupBy("sets", "col", "aa").agg(F.count("*").alias("k")))
+    kinds = materialize(rows.groupBy("sets").agg(F.count("*").alias("members")))
+    member = counts.select(F.explode("sets").alias("subset"), "col", "aa", "k").groupBy("subset", "col", "aa").agg(F.sum("k").alias("n"))
+    found = materialize(member.join(sizes, "subset").where((F.col("n") / F.col("size") >= cmin - eps) & ~F.col("aa").isin("X", "B", "Z", "J")))
+    keepers = found.groupBy("col", "aa").agg(F.collect_set("subset").alias("keepers"))
+    within = F.arrays_overlap("sets", "keepers")
+    union = keepers.join(kinds, within).groupBy("col", "aa").agg(F.sum("members").alias("rows_in"))
+    hits = counts.join(keepers, ["col", "aa"]).where(within).groupBy("col", "aa").agg(F.sum("k").alias("hit_in"))
+    overall = counts.groupBy("col", "aa").agg(F.sum("k").alias("hit"))
     out = found.join(union, ["col", "aa"]).join(overall, ["col", "aa"]).join(hits, ["col", "aa"], "left")
-    outside = F.lit(rows) - F.col("rows_in")
+    outside = F.lit(kinds.agg(F.sum("members")).first()[0] or 0) - F.col("rows_in")
     share = (F.col("hit") - F.coalesce("hit_in", F.lit(0))) / outside
     return out.where(outside > 0).withColumn("outside", share).where(F.col("outside") < gmax - eps).select("subset", "col", "aa", (F.col("n") / F.col("size")).alias("inside"), "outside")
 
