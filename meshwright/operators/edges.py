@@ -237,7 +237,9 @@ def calibration_sample(pairs: DataFrame, threshold: float, size: int | None = No
     # A band's first rows by hash: those under a limit that leaves some more than are taken, then ranked.
     mark = F.pmod(F.xxhash64(F.lit(SAMPLE_SEED), "i", "j"), F.lit(1 << 40))
     limit = (F.col("take") + 8 * F.sqrt(F.col("take").cast("double")) + 64) / F.col("members")
-    near = placed.join(F.broadcast(takes), "band").withColumn("mark", mark).where(F.col("mark") < limit * (1 << 40))
+    most = max((take + 8 * take**0.5 + 64) / members for _, take, members in rows)
+    low = skipped.withColumn("mark", mark).where(F.col("mark") < F.lit(min(int(most * (1 << 40)) + 1, 1 << 40)))  # bands are looked up for few rows
+    near = low.withColumn("band", band).join(F.broadcast(takes), "band").where(F.col("mark") < limit * (1 << 40))
     rank = F.row_number().over(Window.partitionBy("band").orderBy("mark", "i", "j"))
     return near.withColumn("rank", rank).where(F.col("rank") <= F.col("take")).select("i", "j", "score", (F.col("members") / F.col("take")).alias("weight"))
 
