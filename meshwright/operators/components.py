@@ -7,6 +7,10 @@ table has at most ``HUBS`` rows, whatever the graph: the limit rises with the nu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,48 @@ from meshwright.session import materialize
 
 #: Edges of a node that are joined in one task at least, and nodes whose edges are not.
 HUB, HUBS = 64, 50_000
+#: Edges of a task that are made a forest at once, and nodes of a task's forest at which it is let go.
+LOCAL, NODES = 1 << 20, 1 << 22
+
+
+def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some edges, rising, and the least node that each is tied to by them."""
+    ids, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, root = place[: len(a)], place[len(a) :], np.arange(len(ids))
+    while len(x):
+        x, y = root[x], root[y]
+        apart = x != y
+        x, y = np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart])
+        np.minimum.at(root, x, y)
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    return ids, ids[root]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges ``(a, b)`` as stars of what they tie together."""
+    held, size, new = [], 0, 0
+
+    def tied() -> tuple[np.ndarray, np.ndarray]:
+        node, root = local_components(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        return node[node != root], root[node != root]
+
+    def out(star: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(star[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + (1 << 16)]) for c in star], ["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            new += batch.num_rows
+        if new >= max(LOCAL, size):
+            star = tied()
+            held, size, new = [star], len(star[0]), 0
+            if size > NODES:
+                yield from out(star)
+                held, size = [], 0
+    if held:
+        yield from out(tied())
 
 
 def _with_least(edges: DataFrame, n: int) -> DataFrame:
@@ -47,6 +93,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     that round.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` is not null and `{b}` is not null and a <> b")
+    kinds = dict(e.dtypes)
+    if set(kinds.values()) <= {"tinyint", "smallint", "int", "bigint"}:  # tasks keep a forest of their edges before any meet
+        e = e.select(*(F.col(c).cast("long") for c in "ab")).mapInArrow(_forests, "a long, b long").select(*(F.col(c).cast(k) for c, k in kinds.items()))
     e = materialize(e.distinct())
     state = (e.count(), None)
     for _ in range(max_rounds):
