@@ -36,3 +36,28 @@ def test_jaccard_by_blocks_without_a_join(spark, monkeypatch, group):
     found = [((r["i"], r["j"]), r["jaccard"]) for r in got.collect()]
     assert dict(found) == brute_jaccard(pairs) and len(found) == len(dict(found))
     assert graph.jaccard(spark.createDataFrame([], EDGES)).count() == 0
+
+
+def test_jaccard_clusters_of_forests(spark, monkeypatch):
+    """A clique and a ring of cliques: what goes on to the components is fewer edges than nodes, not all that reach the threshold."""
+    seen = []
+    connected = graph.connected_components
+
+    def watched(edges, *ends):
+        seen.append(edges.count())
+        return connected(edges, *ends)
+
+    monkeypatch.setattr(graph, "connected_components", watched)
+    pairs = [(a, b, 1.0) for a in range(40) for b in range(a + 1, 40)] + [(100 + 5 * c + a, 100 + 5 * c + b, 1.0) for c in range(4) for a in range(5) for b in range(a + 1, 5)] + [(100 + 5 * c, 100 + 5 * ((c + 1) % 4) + 1, 1.0) for c in range(4)]
+    pairs = [(min(p), max(p), w) for *p, w in pairs]
+    nodes = spark.createDataFrame([(n,) for n in [*range(41), *range(100, 120)]], "node long")
+    score, label = brute_jaccard(pairs), {n: n for n in [*range(41), *range(100, 120)]}
+    for _ in label:
+        for (a, b), x in score.items():
+            if x >= 0.5:
+                label[a] = label[b] = min(label[a], label[b])
+    sizes = {r: list(label.values()).count(r) for r in set(label.values())}
+    order = sorted((r for r in sizes if sizes[r] >= 3), key=lambda r: (-sizes[r], r))
+    got = dict(map(tuple, graph.jaccard_clusters(nodes, spark.createDataFrame(pairs, EDGES), 0.5, 3).collect()))
+    assert got == {n: order.index(r) + 1 if r in order else -1 for n, r in label.items()} and max(got.values()) == 5
+    assert seen[0] < len(label)
