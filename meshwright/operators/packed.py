@@ -1,7 +1,8 @@
 """Neighbour lists of large networks: the lists of a block of nodes are one row of compressed bytes.
 
 Edges are dealt to blocks from both ends and stored once, at some bytes an edge.  What looks at pairs of
-lists brings groups of blocks together; what looks at single lists reads the stored rows.
+lists brings groups of blocks together, which tasks read from where they are stored: no copies are dealt
+out; what looks at single lists reads the stored rows.
 """
 
 from __future__ import annotations
@@ -102,17 +103,16 @@ def pack_pieces(held: list[tuple[np.ndarray, ...]], blocks: int, both: bool) ->
     if both:
         i, j, rest = np.concatenate((i, j)), np.concatenate((j, i)), [np.concatenate((v, v)) for v in rest]
     block = home(i, blocks)
-    order = np.lexsort((i, block))
+    order = np.lexsort((j, i, block))
     cuts = np.searchsorted(block[order], np.arange(blocks + 1))
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         own = order[cuts[k] : cuts[k + 1]]
-        x = i[own]
-        yield k, pickle.dumps((squeeze(np.diff(x, prepend=0)), squeeze(j[own]), *(squeeze_values(v[own]) for v in rest)))
+        yield k, pickle.dumps((*(squeeze(np.diff(x[own], prepend=0)) for x in (i, j)), *(squeeze_values(v[own]) for v in rest)))
 
 
 def open_piece(data: bytes) -> tuple[np.ndarray, ...]:
     x, j, *rest = pickle.loads(data)
-    return np.cumsum(restore(x)), restore(j), *(restore_values(v) for v in rest)
+    return np.cumsum(restore(x)), np.cumsum(restore(j)), *(restore_values(v) for v in rest)
 
 
 def dealt(edges: DataFrame, value: str | None = None, blocks: int = BLOCKS, both: bool = True) -> DataFrame:
@@ -172,26 +172,29 @@ def neighbour_lists(edges: DataFrame, value: str | None = None) -> DataFrame:
 
 
 def group_pairs(lists: DataFrame, run: Callable[[list[Lists], list[Lists] | None], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Bring every pair of groups of blocks together once, in a task of its own; ``run`` gets the lists of both (None: a group and itself)."""
+    """Bring every pair of groups of blocks together once, in a task of its own; ``run`` gets the lists of both (None: a group and itself).
+
+    A group is stored as one row and a partition, which every task that needs it reads there.
+    """
     total, most = lists.agg(F.sum("entries"), F.count("*")).first()
     least = math.ceil(math.sqrt(2 * lists.sparkSession.sparkContext.defaultParallelism)) if (total or 0) > 500_000 else 1
     groups = max(1, min(most or 1, max(least, -(-(total or 0) // GROUP))))
 
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, held in by_block(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([pickle.dumps([d.as_py() for b in held for d in b.column(1)])], pa.binary())], ["g", "lists"])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, held in by_block(batches):
-            mine: dict[int, list[Lists]] = {}
-            for b in held:
-                for g, data in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                    mine.setdefault(g, []).append(Lists.unpack(data.as_py()))
-            held.clear()
-            a, b = divmod(place, groups)
-            if a in mine and b in mine:
-                yield from run(mine[a], mine[b] if a != b else None)
-
-    mine, other = F.col("block") % groups, F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    rows = lists.select(mine.alias("mine"), other.alias("other"), "data").select((F.least("mine", "other") * groups + F.greatest("mine", "other")).cast("int").alias("place"), F.col("mine").cast("int").alias("mine"), "data")
-    index = (F.floor(F.col("place") / groups) * (2 * groups - F.floor(F.col("place") / groups) - 1) / 2 + F.col("place") % groups).cast("int")
-    return rows.repartitionById(groups * (groups + 1) // 2, index).sortWithinPartitions("place").mapInArrow(each, schema)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, far = ([Lists.unpack(d) for d in pickle.loads(x)] if x is not None else None for x in (c[k].as_py() for c in batch.columns))
+                yield from run(own, far)
+
+    own = lists.select((F.col("block") % groups).cast("int").alias("g"), "data").repartitionById(groups, "g").sortWithinPartitions("g")
+    stored = materialize(own.mapInArrow(bundle, "g int, lists binary"))
+    other = stored.select(F.col("g").alias("h"), F.col("lists").alias("far"))
+    pairs = stored.hint("shuffle_replicate_nl").join(other, F.col("g") <= F.col("h"))  # a product of partitions, without a shuffle
+    return pairs.select("lists", F.when(F.col("g") < F.col("h"), F.col("far")).alias("far")).mapInArrow(each, schema)
 
 
 def shared_neighbours(own: list[Lists], far: list[Lists] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -38,6 +38,20 @@ def test_jaccard_by_blocks_without_a_join(spark, monkeypatch, group):
     assert graph.jaccard(spark.createDataFrame([], EDGES)).count() == 0
 
 
+def test_groups_of_lists_are_not_dealt_out_as_copies(spark, monkeypatch):
+    """Pairs of groups are read from where the lists are stored: no shuffle of a copy for each group; pieces of rising lists keep large ids and values."""
+    monkeypatch.setattr(packed, "GROUP", 150)
+    pairs = network(7, 60, 0.1)
+    got = graph.jaccard(spark.createDataFrame(pairs, EDGES))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+    found = [((r["i"], r["j"]), r["jaccard"]) for r in got.collect()]
+    assert dict(found) == brute_jaccard(pairs) and len(found) == len(dict(found))
+    i, j, v = (np.array(c) for c in zip(*[(5, -(2**62), 0.25), (5, 2**62, 0.5), (-(2**61), 3, 1 / 3), (5, 3, 0.125)], strict=True))
+    back = [packed.open_piece(data) for _, data in packed.pack_pieces([(i, j, v)], 4, True)]
+    assert sorted(zip(*(np.concatenate(c).tolist() for c in zip(*back, strict=True)), strict=True)) == sorted([*zip(i.tolist(), j.tolist(), v.tolist(), strict=True), *zip(j.tolist(), i.tolist(), v.tolist(), strict=True)])
+
+
 def test_jaccard_clusters_of_forests(spark, monkeypatch):
     """A clique and a ring of cliques: what goes on to the components is fewer edges than nodes, not all that reach the threshold."""
     seen = []
