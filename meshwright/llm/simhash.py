@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.llm._common import arrow_map, chunks, free_name, materialize, text_bytes, text_digest
-from meshwright.operators.components import connected_components
+from meshwright.operators.components import connected_components, forests
 
 #: Members of a bucket that one task compares among themselves.
 BLOCK = 16_384
@@ -273,7 +273,7 @@ def exact_forest(sets: list[np.ndarray], nodes: list[int], similarity: float) ->
 
 
 def exact_links(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` of a Jaccard similarity of ``similarity`` or more within each key of ``texts (key, node, data)``."""
+    """What ties the texts of each key of ``texts (key, node, data)`` whose Jaccard similarity is ``similarity`` or more: ``(a, b)``, a forest of each task."""
 
     def settle(members: dict[int, np.ndarray]) -> pa.RecordBatch | None:
         a, b = exact_forest(list(members.values()), list(members), similarity) if len(members) > 1 else ([], [])
@@ -293,7 +293,7 @@ def exact_links(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
         if (out := settle(members)) is not None:
             yield out
 
-    return texts.select("key", "node", "data").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+    return texts.select("key", "node", "data").repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: forests(run(batches)), "a long, b long")
 
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, tables: int = 10, sample: int = 4, width: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -319,7 +319,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = placed.join(blocks, "group").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("id", "t0", "t1", "node", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
     # An id may stand for several texts: only the class's own counts.
-    component = connected_components(exact_links(texts.join(dealt, ["id", "t0", "t1"]), ngram, similarity))
+    component = connected_components(exact_links(texts.join(dealt, ["id", "t0", "t1"]), ngram, similarity), tied=True)
     return signed.select("id", "t0", "t1"), classes.join(component, "node", "left").select("t0", "t1", "id", F.coalesce("component", "node").alias("root"))
 
 

@@ -36,7 +36,7 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids, ids[root]
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's edges ``(a, b)`` as stars of what they tie together."""
     held, size, new = [], 0, 0
 
@@ -85,17 +85,18 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return found.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(edges.groupBy("a").agg(F.min("b").alias("b")))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tied: bool = False, max_rounds: int = 60) -> DataFrame:
     """Return ``(node, component)`` for every node of an edge; component is its smallest node.
 
     Self edges and rows with a null end are ignored; repeated edges count once; without edges the
     result is empty.  Each round is checkpointed to shared storage, so a lost executor costs at most
-    that round.
+    that round.  ``tied``: tasks whose Python makes the edges have passed them through ``forests`` there;
+    a second Python operator in such a stage would double the workers of every executor.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` is not null and `{b}` is not null and a <> b")
     kinds = dict(e.dtypes)
-    if set(kinds.values()) <= {"tinyint", "smallint", "int", "bigint"}:  # tasks keep a forest of their edges before any meet
-        e = e.select(*(F.col(c).cast("long") for c in "ab")).mapInArrow(_forests, "a long, b long").select(*(F.col(c).cast(k) for c, k in kinds.items()))
+    if not tied and set(kinds.values()) <= {"tinyint", "smallint", "int", "bigint"}:  # tasks keep a forest of their edges before any meet
+        e = e.select(*(F.col(c).cast("long") for c in "ab")).mapInArrow(forests, "a long, b long").select(*(F.col(c).cast(k) for c, k in kinds.items()))
     e = materialize(e.distinct())
     state = (e.count(), None)
     for _ in range(max_rounds):

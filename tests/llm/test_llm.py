@@ -274,3 +274,27 @@ def test_filters_keep_rows_as_they_are(spark):
     assert good.columns == docs.columns
     chosen = {r["doc_id"] for r in quality.quality_scores(docs, labels).where("predicted = 1").collect()}
     assert len(chosen ^ {r["doc_id"] for r in good.collect()}) <= 0.002 * docs.count()  # features here are doubles, there floats
+
+
+def test_near_duplicates_start_one_python_worker_a_task(spark, monkeypatch):
+    """Links leave the worker that compares texts as forests: no second Python operator before the next shuffle."""
+    seen = []
+    connected = simhash.connected_components
+
+    def watched(edges, *args, **options):
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        found = connected(edges, *args, **options)
+        seen.append((plan, options.get("tied", False), edges))
+        return found
+
+    monkeypatch.setattr(simhash, "connected_components", watched)
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"{text} {' '.join(f'x{k}y{m}' for m in range(k % 3))}") for k in range(12)] + [(20, "another text of a few words")]
+    got = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), ngram=5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 20]
+    for plan, tied, edges in seen:
+        first = next(line for line in plan.splitlines() if "MapInArrow" in line or "Exchange" in line)
+        assert tied if "MapInArrow" in first else not tied
+    edges = next(e for _, tied, e in seen if tied).collect()
+    nodes = {x for e in edges for x in e}
+    assert len(seen) == 2 and len(edges) == len(nodes) - 1
