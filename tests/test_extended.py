@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,35 @@ def test_fit_with_a_sample_is_checked_on_what_it_left_out(spark):
     assert imputation.fit_imputation(df, sample.limit(5))[1] is None and imputation.fit_imputation(df)[1] is None
 
 
+def test_fit_takes_every_observed_pair(spark):
+    """Beyond 100,000 pairs too, in stretches that are pooled apart and then together."""
+    rng = np.random.default_rng(4)
+    n = 130_000
+    x, y = np.round(rng.normal(size=n), 3), rng.normal(size=n)
+    y += np.where(rng.random(n) < 0.5, x, 0)
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "j": np.arange(n) + n, "similarity": x, "score": y}))
+    got, want = imputation.fit_imputation(df)[0], imputation.fit_monotone(x, y)
+    assert np.array_equal(got.x, want.x) and np.allclose(got.y, want.y, rtol=0, atol=1e-9)
+
+
+def test_imputed_distances_are_of_a_fit_to_all_known_pairs(spark, tmp_path):
+    from meshwright.plans import catalog
+
+    v = np.random.default_rng(6).normal(size=(850, 64))
+    spark.createDataFrame([(k, x.tolist(), k % 10) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    i, j = np.triu_indices(len(v), 1)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round((u @ u.T)[i, j], 6)
+    known, score = (i + j) % 3 == 0, np.round(s * np.abs(s) + 0.1, 6)
+    assert known.sum() > 110_000
+    fit = imputation.fit_monotone(s[known], score[known])
+    top = score[known].max()
+    want = np.clip(top - np.where(known, score, fit(s)), 0, top - min(0, fit.y.min()) + 0.1)
+    got = catalog.queries()["imputed_distances"](spark, str(tmp_path)).toPandas().sort_values(["i", "j"])
+    assert np.array_equal(got[["i", "j"]], np.stack((i, j), axis=1)) and np.array_equal(got["imputed"], ~known)
+    assert np.allclose(got["distance"], want, rtol=0, atol=1e-9)
+
+
 # --- names, rows, formats ------------------------------------------------------------------------------------------
 
 
